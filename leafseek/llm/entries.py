@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import id_files, packing
+from . import byte_bpe, id_files, packing, token_counts
 from .common import documents
 
 #: File names of the public vocabularies.
@@ -24,6 +24,16 @@ def word_vocabulary() -> str:
     return vocabulary(WORD_VOCABULARY).decode()
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.piece_vocabulary(vocabulary(PIECE_VOCABULARY)))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digest(documents(spark, sf_dir), byte_bpe.read_ranks(vocabulary(BYTE_VOCABULARY)), public_tokenizers.PATTERN)
+
+
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.digest(*id_files.write(documents(spark, sf_dir), word_vocabulary()))
 
@@ -34,6 +44,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_counts": op3_token_counts,
+        "op4_byte_bpe": op4_byte_bpe,
         "op9_huffman_ids": op9_huffman_ids,
         "op10_packing": op10_packing,
     }
