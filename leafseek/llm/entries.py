@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, id_files, packing, token_counts
+from . import byte_bpe, id_files, media, packing, token_counts
 from .common import documents
 
 #: File names of the public vocabularies.
@@ -34,6 +34,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), byte_bpe.read_ranks(vocabulary(BYTE_VOCABULARY)), public_tokenizers.PATTERN)
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(documents(spark, sf_dir))
+
+
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.digest(*id_files.write(documents(spark, sf_dir), word_vocabulary()))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
         "op4_byte_bpe": op4_byte_bpe,
+        "op8_flac": op8_flac,
         "op9_huffman_ids": op9_huffman_ids,
         "op10_packing": op10_packing,
     }
