@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize
 from .word_ids import encode_with_end
 
-#: Pieces a salt of the ranking holds on average.
-RANK_GROUP = 100_000
+#: Pieces of one length that a salt of the ranking holds on average.
+RANK_GROUP = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -130,10 +130,12 @@ def pack(pieces: DataFrame, width: int = 2048) -> DataFrame:
     """
     pieces = materialize(pieces, "pieces")
     by_length = pieces.groupBy("length").count().collect()
-    groups = max(1, -(-sum(r["count"] for r in by_length) // RANK_GROUP))
+    groups = [1] * (width + 1)
+    for r in by_length:
+        groups[r["length"]] = -(-r["count"] // RANK_GROUP)
     table = slots(shortest_pack_first({r["length"]: r["count"] for r in by_length}, width))
     shipped = pieces.sparkSession.sparkContext.broadcast(table)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.get(F.lit(groups), F.col("length").cast("int"))).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("group_start"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
