@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, id_files, media, packing, token_counts
+from . import byte_bpe, embed_dedup, id_files, media, packing, simhash, token_counts
 from .common import documents
 
 #: File names of the public vocabularies.
@@ -24,6 +25,11 @@ def word_vocabulary() -> str:
     return vocabulary(WORD_VOCABULARY).decode()
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), token_counts.piece_vocabulary(vocabulary(PIECE_VOCABULARY)))
 
@@ -34,6 +40,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), byte_bpe.read_ranks(vocabulary(BYTE_VOCABULARY)), public_tokenizers.PATTERN)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir))
 
@@ -48,8 +58,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op3_token_counts": op3_token_counts,
         "op4_byte_bpe": op4_byte_bpe,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_flac": op8_flac,
         "op9_huffman_ids": op9_huffman_ids,
         "op10_packing": op10_packing,
