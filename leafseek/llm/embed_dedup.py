@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +35,7 @@ def _usable(vectors: DataFrame, kind: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             lists = batch.column(2)
-            lens = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+            lens = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()], np.int64)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)  # nulls are NaN
             ends = np.cumsum(lens)
             out: list[bytes | None] = [None] * len(lens)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embed_dedup, id_files, media, packing, simhash, token_counts
+from . import byte_bpe, embed_dedup, id_files, licenses, media, packing, simhash, token_counts, toxicity
 from .common import documents
 
 #: File names of the public vocabularies.
@@ -40,6 +40,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), byte_bpe.read_ranks(vocabulary(BYTE_VOCABULARY)), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(documents(spark, sf_dir))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -61,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op3_token_counts": op3_token_counts,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_toxicity": op5_toxicity,
+        "op6_licenses": op6_licenses,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_flac": op8_flac,
         "op9_huffman_ids": op9_huffman_ids,
