@@ -84,5 +84,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_OP2_SQL = r"""WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+    windows AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM split WHERE len(ws) >= 50),
+    keyed AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) AS k FROM windows),
+    firsts AS (SELECT k, min(doc_id) AS f FROM keyed GROUP BY k HAVING min(doc_id) < max(doc_id)),
+    covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM keyed JOIN firsts USING (k) WHERE f < doc_id),
+    placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split WHERE len(ws) > 0),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS t FROM placed ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+    SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the one query that it can express; the others need hashes, tokenizers, models or media formats."""
+    return {"op2_substring": _OP2_SQL}
