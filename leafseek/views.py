@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A table of fewer bytes for each core may stand in fewer row groups than there are cores.
+SMALL_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one is dealt out to all cores, since a row group is read by one task."""
+    path = f"{sf_dir}/{name}.parquet"
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return df.repartition(cores) if 1 << 18 < size < cores * SMALL_BYTES else df
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
