@@ -53,7 +53,12 @@ def by_id(rows):
     return out
 
 
-def test_simhash_plan_finds_all_links(spark):
+@pytest.mark.parametrize("thresholds", [None, {0: 1, 1: 0}, {0: -1, 1: 2}])
+def test_simhash_plan_finds_all_links(spark, monkeypatch, thresholds):
+    if thresholds:  # what large corpora get: two groups, of which one is probed within a distance
+        groups = [list(range(0, 64, 2)), list(range(1, 64, 2))] if thresholds[0] >= 0 else [list(range(52)), list(range(52, 64))]
+        fixed = [(simhash._mask(g), thresholds[i], g) for i, g in enumerate(groups) if thresholds[i] >= 0]
+        monkeypatch.setattr(simhash, "plan", lambda fps, distance: fixed)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 64, (6, 2))]
