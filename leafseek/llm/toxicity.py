@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories stand in a fixed order. The model of each category sees the words
-of a text and the probabilities of the categories before it. In training those
+of a text, their beginnings, and the probabilities of the categories before it. In training those
 come from models that have not seen the row (out of fold), so later models learn
 what the earlier ones are worth on unseen texts; in scoring they come from the
 models of all rows.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
 
-MAX_ROWS, MAX_WORDS, FOLDS, RIDGE = 8192, 256, 5, 1e-3
+MAX_ROWS, MAX_WORDS, FOLDS, RIDGE = 8192, 256, 5, 1e-4
+#: Letters of a word's beginning.
+BEGINNING = 4
 #: A text is toxic from this probability of the last category on.
 THRESHOLD = 0.5
 #: The first categories mark labelled toxic texts that hold a word of these; the last is the label itself.
@@ -37,8 +39,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> set[str]:
-    """Distinct lower-cased words of letters; null counts as empty."""
-    return set(_WORD.findall(text.lower())) if text else set()
+    """Distinct lower-cased words of letters, and with ``*`` the beginnings of longer ones; null counts as empty.
+
+    Beginnings carry what inflected and compound words have in common.
+    """
+    found = set(_WORD.findall(text.lower())) if text else set()
+    return found | {w[:BEGINNING] + "*" for w in found if len(w) > BEGINNING}
 
 
 @dataclass
@@ -62,8 +68,8 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
-    """Weights and constant of a ridge logistic regression, by Newton's method."""
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30) -> np.ndarray:
+    """Weights and constant of a ridge logistic regression, by Newton's method with bounded steps."""
     n, d = x.shape
     w = np.zeros(d + 1)
     rate = np.clip(y.mean() if n else 0, 1e-6, 1 - 1e-6)
@@ -71,14 +77,14 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int =
     if not n or y.min() == y.max():
         return w
     penalty = np.full(d + 1, ridge)
-    penalty[-1] = 1e-9
+    penalty[-1] = ridge / 100
     full = np.concatenate([x, np.ones((n, 1))], 1)
     for _ in range(rounds):
         p = _sigmoid(full @ w)
         gradient = full.T @ (p - y) / n + penalty * w
         curvature = (full * (p * (1 - p) / n + 1e-9)[:, None]).T @ full + np.diag(penalty)
         step = np.linalg.solve(curvature, gradient)
-        w = w - step
+        w = w - step * min(1, 2 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
             break
     return w
