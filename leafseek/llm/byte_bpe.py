@@ -6,8 +6,8 @@ merges over the bytes of each distinct word; a second Arrow pass puts the ids of
 the words in the documents' order. A block is one row all along, so nothing is
 shuffled and no dictionary grows with the corpus.
 
-The rank map is a literal: keys and ranks stand in arrays at the slots of a
-perfect hash, so a lookup is one hash and three array reads.
+The rank map is a literal: pairs of ids and their ranks stand in an array at the
+slots of a perfect hash, so a lookup is a product and three array reads.
 """
 
 from __future__ import annotations
@@ -21,19 +21,18 @@ import re
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 
 #: A block closes with the document that takes it to so many characters.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 10 << 20
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
 #: White space other than single blanks and line feeds needs the whole pattern.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
-_BLOCK = "doc_ids array<long>, n_words array<int>, places binary, words array<binary>"
+_BLOCK = "doc_ids array<long>, n_words array<int>, places binary, words array<array<int>>, long array<struct<at: int, word: binary>>"
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -41,56 +40,76 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
 
 
-class RankMap:
-    """The ranks as literals of a Spark expression: a perfect hash by displacement."""
+class PairMap:
+    """The ranks as literals of a Spark expression.
 
-    BUCKET_BITS, SLOT_BITS = 14, 17
+    A pair of ids leads to the rank of their bytes together, which is the id of
+    the merged piece. Pairs stand in one array at the slots of a perfect hash by
+    displacement, each with its rank in the lowest 16 bits.
+    """
+
+    WIDTH, BUCKET_BITS = 16, 16
+    #: An id that no pair holds; it stands at both ends of a word.
+    NONE = (1 << WIDTH) - 1
+    FACTOR = 0x2545F491
+    #: The rank of pairs that do not merge.
+    NEVER = 1 << 20
 
     def __init__(self, ranks: dict[bytes, int]):
-        if len(ranks) > 1 << (self.SLOT_BITS - 1):
+        if any(rank >= self.NONE for rank in ranks.values()):
             raise ValueError("too many ranks")
-        buckets: dict[int, list[tuple[int, bytes]]] = {}
-        for key in ranks:
-            h = xxhash.xxh64_intdigest(key, 42)
-            buckets.setdefault(h & (1 << self.BUCKET_BITS) - 1, []).append((h >> self.BUCKET_BITS, key))
-        mask = (1 << self.SLOT_BITS) - 1
-        self.keys: list[bytes] = [b""] * (1 << self.SLOT_BITS)
-        self.shifts = [0] * (1 << self.BUCKET_BITS)
-        taken = bytearray(1 << self.SLOT_BITS)
+        pairs = {ranks[t[:i]] << self.WIDTH | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        if self.bytes.max() > 255:
+            raise ValueError("single bytes have the first 256 ranks")
+        # pairs of bytes, and of a byte and a word's end
+        self.first = [pairs.get(a << self.WIDTH | b, self.NEVER) if a < 256 and b < 256 else self.NEVER for a in range(257) for b in range(257)]
+        self.slot_mask = (1 << max(8, (3 * len(pairs)).bit_length())) - 1
+        buckets: dict[int, list[int]] = {}
+        for key in pairs:
+            buckets.setdefault(key * self.FACTOR >> 40 & (1 << self.BUCKET_BITS) - 1, []).append(key)
+        self.table, self.shifts = [-1] * (self.slot_mask + 1), [0] * (1 << self.BUCKET_BITS)
+        free = 0
         for bucket, held in sorted(buckets.items(), key=lambda x: -len(x[1])):
-            shift = 0
-            while True:
-                at = {self._slot(h, shift) & mask for h, _ in held}
-                if len(at) == len(held) and not any(taken[s] for s in at):
-                    break
+            homes = [k * self.FACTOR >> 11 for k in held]
+            if len({h & self.slot_mask for h in homes}) < len(homes):
+                raise ValueError("two pairs of a bucket share a slot")
+            shift = free - (homes[0] & self.slot_mask) if len(held) == 1 else 0
+            while any(self.table[h + shift & self.slot_mask] >= 0 for h in homes):
                 shift += 1
-            self.shifts[bucket] = shift
-            for h, key in held:
-                slot = self._slot(h, shift) & mask
-                taken[slot] = 1
-                self.keys[slot] = key
-        self.ranks = [ranks.get(k, -1) for k in self.keys]
-
-    @staticmethod
-    def _slot(h: int, shift: int) -> int:
-        # the hash without its bucket bits, turned by the bucket's displacement
-        return h + (shift * ((h >> 17 & 0xFFFF) * 2 + 1)) + (h >> 34)
-
-    def columns(self) -> list[Column]:
-        text = json.dumps([base64.b64encode(k).decode() for k in self.keys])
-        return [F.from_json(F.lit(text), "array<binary>"), F.from_json(F.lit(json.dumps(self.ranks)), "array<int>"), F.from_json(F.lit(json.dumps(self.shifts)), "array<int>")]
-
-    @classmethod
-    def lookup(cls, piece: Column, keys: Column, ranks: Column, shifts: Column) -> Column:
-        """The rank of a binary column, or null."""
-
-        def slot(h: Column) -> Column:
-            top = F.shiftrightunsigned(h, cls.BUCKET_BITS)
-            shift = F.get(shifts, h.bitwiseAND(F.lit((1 << cls.BUCKET_BITS) - 1)).cast("int"))
-            turned = top + shift * (F.shiftrightunsigned(top, 17).bitwiseAND(F.lit(0xFFFF)) * 2 + 1) + F.shiftrightunsigned(top, 34)
-            return turned.bitwiseAND(F.lit((1 << cls.SLOT_BITS) - 1)).cast("int")
-
-        return _let(slot(F.xxhash64(piece)), lambda s: F.when(F.get(keys, s) == piece, F.get(ranks, s)))
+            self.shifts[bucket] = shift & self.slot_mask
+            for h, key in zip(homes, held, strict=True):
+                self.table[h + shift & self.slot_mask] = key << self.WIDTH | pairs[key]
+            while free <= self.slot_mask and self.table[free] >= 0:
+                free += 1
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """``df`` with the literals as columns, which ``rank`` reads.
+
+        The literals are parsed once, in scalar subqueries. Inside the fold's
+        expressions each would be printed and compared dozens of times.
+        """
+        literal = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+        parts = {"table": literal(self.table, "bigint"), "shifts": literal(self.shifts, "bigint"), "first": literal(self.first, "bigint"), "ids": literal(list(range(self.NONE)), "bigint")}
+        one = df.sparkSession.range(1).select(*[c.alias(k) for k, c in parts.items()])
+        for k in parts:
+            setattr(self, f"c_{k}", F.col(f"pairs_{k}"))
+        return df.select("*", *[one.select(k).scalar().alias(f"pairs_{k}") for k in parts])
+
+    def first_rank(self, left: Column, right: Column) -> Column:
+        """The rank of two bytes of a word, or NEVER."""
+        return F.coalesce(F.get(self.c_first, F.least(left, F.lit(256)) * 257 + F.least(right, F.lit(256))), F.lit(self.NEVER).cast("bigint"))
+
+    def rank(self, left: Column, right: Column) -> Column:
+        """The rank of two ids together, or NEVER; no part is evaluated twice but the key."""
+        key = left * (1 << self.WIDTH) + right
+        hashed = key * self.FACTOR
+        shift = F.get(self.c_shifts, F.shiftright(hashed, 40).bitwiseAND(F.lit((1 << self.BUCKET_BITS) - 1)).cast("int"))
+        slot = (F.shiftright(hashed, 11) + shift).bitwiseAND(F.lit(self.slot_mask)).cast("int")
+        # the entry less the key is a rank where the entry is the key's, and out of range elsewhere
+        beyond = F.get(self.c_table, slot) - key * (1 << self.WIDTH)
+        known = F.get(self.c_ids, F.least(F.greatest(beyond, F.lit(-1).cast("bigint")), F.lit(self.NONE).cast("bigint")).cast("int"))
+        return F.coalesce(known, F.lit(self.NEVER).cast("bigint"))
 
 
 def _let(value: Column, body) -> Column:
@@ -98,34 +117,30 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def fold_merges(word: Column, rank) -> Column:
-    """Ids of one word, by merging the adjacent pair of the lowest rank until none has one.
+def encode_word(word: Column, pairs: PairMap) -> Column:
+    """Ids of the bytes of one word, by merging the adjacent pair of the lowest rank until none has one.
 
-    The state holds the pieces and the rank of each adjacent pair. A merge
-    replaces two pieces and looks up the two pairs beside them only.
+    ``word`` is the array of its bytes' ids between two end marks. The state of
+    the fold is an array of the rank of each id with the next, times 2**16, plus
+    the id: its least entry is the next merge, and the rank is the merged id. A
+    merge replaces two entries and looks up the two pairs beside it only.
     """
-    pieces = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), F.octet_length(word) - 1), lambda i: rank(F.substring(word, i, F.lit(2))))
-    start = F.struct(pieces.alias("p"), pairs.alias("r"))
-
-    def merged(s: Column, k: Column) -> Column:
-        p, r = s["p"], s["r"]
-        new = F.concat(F.get(p, k - 1), F.get(p, k))
-
-        def put(new: Column) -> Column:
-            left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(k < F.size(r), F.array(rank(F.concat(new, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(p, 1, k - 1), F.array(new), F.slice(p, k + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(p))).alias("r"),
-            )
+    one = 1 << PairMap.WIDTH
+    start = F.transform(word, lambda a, i: pairs.first_rank(a, F.get(word, i + 1)) * one + a)
+    id_of = lambda x: x.bitwiseAND(F.lit(one - 1))
 
-        return _let(new, put)
+    def merged(q: Column, k: Column, new: Column) -> Column:
+        left, many = id_of(F.get(q, k - 2)), F.lit(1 << 20)
+        both = F.array(pairs.rank(left, new) * one + left, pairs.rank(new, id_of(F.get(q, k + 1))) * one + new)
+        return F.flatten(F.array(F.slice(q, F.lit(1), k - 2), both, F.slice(q, k + 2, many)))
 
-    def step(s: Column, _: Column) -> Column:
-        return _let(F.array_min(s["r"]), lambda low: F.when(low.isNull(), s).otherwise(_let(F.array_position(s["r"], low).cast("int"), lambda k: merged(s, k))))
+    def step(q: Column, _: Column) -> Column:
+        apply = lambda low: _let(F.array_position(q, low).cast("int"), lambda k: merged(q, k, F.shiftright(low, PairMap.WIDTH)))
+        return _let(F.array_min(q), lambda low: F.when(low >= PairMap.NEVER * one, q).otherwise(apply(low)))
 
-    return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start, step, lambda s: F.transform(s["p"], rank))
+    # a word of n bytes takes n - 1 merges at most; the sequence begins with a turn that may find none left
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(word) - 2), start, step)
+    return _let(folded, lambda q: F.transform(F.slice(q, F.lit(2), F.size(q) - 2), lambda x: id_of(x).cast("int")))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -188,7 +203,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
     null doc_id stays null.
     """
     spark = docs.sparkSession
-    table = RankMap(ranks)
+    pairs = PairMap(ranks)
+    byte_ids = pairs.bytes
     shipped = spark.sparkContext.broadcast(ranks)
     if rows is None:
         rows = lambda docs, ids, ranks: [pa.array(docs, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
@@ -199,7 +215,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
 
         def closed():
             own = [w.encode() for w in splitter.words]
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), pa.array([own], pa.list_(pa.binary()))], ["doc_ids", "n_words", "places", "words"])
+            long = [{"at": i, "word": w} for i, w in enumerate(own) if len(w) > FOLD_BYTES]
+            for x in long:
+                own[x["at"]] = b""
+            lens = np.fromiter(map(len, own), np.int64, len(own))
+            ends = np.cumsum(lens + 2)
+            flat = np.full(ends[-1] if len(own) else 0, PairMap.NONE, np.int32)
+            inner = np.ones(len(flat), bool)
+            inner[ends - 1] = inner[ends - lens - 2] = False
+            flat[inner] = byte_ids[np.frombuffer(b"".join(own), np.uint8)]
+            nested = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(flat))
+            rows = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), nested)
+            kinds = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary())]))
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), rows, pa.array([long], kinds)], ["doc_ids", "n_words", "places", "words", "long"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -240,13 +268,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
                 columns = rows(docs, ids, ranks)
                 yield pa.RecordBatch.from_arrays(columns, [f"c{j}" for j in range(len(columns))])
 
-    keys, values, shifts = table.columns()
-    rank = lambda piece: RankMap.lookup(piece, keys, values, shifts)
-    short = lambda w: F.octet_length(w) <= FOLD_BYTES
-    coded = F.transform("words", lambda w: F.when(short(w), _let(rank(w), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold_merges(w, rank)))).otherwise(F.array().cast("array<int>")))
-    listed = F.transform("words", lambda w, i: F.struct(i.alias("at"), F.when(~short(w), w).alias("word")))
-    blocks = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), words, _BLOCK)
-    blocks = blocks.select("doc_ids", "n_words", "places", coded.alias("ids"), F.filter(listed, lambda x: x["word"].isNotNull()).alias("long"))
+    blocks = pairs.attach(map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), words, _BLOCK))
+    # a long word is empty here and has no bytes to fold
+    coded = F.transform("words", lambda w: F.when(F.size(w) > 2, encode_word(w, pairs)).otherwise(F.array().cast("array<int>")))
+    blocks = blocks.select("doc_ids", "n_words", "places", coded.alias("ids"), "long")
     names = [x.split()[0] for x in schema.split(", ")]
     internal = ", ".join(f"c{i} {x.split(' ', 1)[1]}" for i, x in enumerate(schema.split(", ")))
     return map_arrow(blocks, gathered, internal).toDF(*names)
