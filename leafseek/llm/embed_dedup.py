@@ -2,7 +2,9 @@
 
 Each pass orders the distinct vectors of a label by the bits of their random
 projections, one after another, and compares each vector with the next
-``WINDOW`` of that order. Verified pairs of all passes are united. Where many
+``WINDOW`` of that order. The number of passes follows from the size and the mean
+cosine of each label, so that a pair at the threshold is met with a chance of
+``RECALL`` at least. Verified pairs of all passes are united. Where many
 vectors lie close together a window sees only some of a vector's neighbours, so
 the vectors of each component are then compared with each other in tiles of a
 bounded size; the passes have to connect a group, not to see each of its pairs.
@@ -24,7 +26,9 @@ from pyspark.sql import types as T
 from .common import map_arrow, materialize
 from .components import components
 
-PASSES, WINDOW, PASS_BITS, SEED = 10, 32, 64, 7
+PASSES, WINDOW, PASS_BITS, SEED = 10, 1024, 64, 7
+#: Chance that a pair at the threshold is met, if other vectors of its label lie as its mean cosine says.
+RECALL = 0.99
 #: Vectors of a block in a pass, and of a tile's side.
 BLOCK, TILE = 2048, 512
 
@@ -80,6 +84,38 @@ def _runs(batches, keys: list[str]):
         yield last, pa.Table.from_batches(held).combine_chunks()
 
 
+def passes_for(n: float, cosine: float, threshold: float, window: int, least: int) -> int:
+    """Passes that meet a pair at the threshold with a chance of ``RECALL``, among n vectors of a mean cosine.
+
+    A bit of the order keeps a share of the label beside a vector, and the pair together with a higher chance.
+    """
+    if n <= window + 1:
+        return least
+    together, other = (1 - np.arccos(np.clip(x, -1, 1 - 1e-6)) / np.pi for x in (threshold, min(cosine, threshold)))
+    met = (window / n) ** (np.log(together) / np.log(other))
+    return max(least, int(np.ceil(np.log(1 - RECALL) / np.log1p(-met))))
+
+
+def _passes_of(nodes: DataFrame, kind: str, threshold: float, window: int, least: int) -> int:
+    """The most passes that a label needs; one row for each label and length of over a window reaches the driver."""
+
+    def summed(batches):
+        for batch in batches:
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
+            for key in set(keys):
+                own = batch.take(pa.array([i for i, k in enumerate(keys) if k == key]))
+                total = _unit(own.column("vec"), kind).sum(0)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(total)), pa.array([key[1]] * len(total), pa.int32()), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["label", "dim", "i", "total"])
+
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("size")).where(F.col("size") > window + 1)
+    large = nodes.select("label", "dim", "vec").join(sizes, ["label", "dim"], "left_semi")
+    totals = map_arrow(large, summed, "label string, dim int, i int, total double").groupBy("label", "dim", "i").agg(F.sum("total").alias("total"))
+    cosines = totals.groupBy("label", "dim").agg(F.sum(F.col("total") * F.col("total")).alias("square")).join(sizes, ["label", "dim"])
+    # without each vector's cosine to itself
+    found = cosines.select("size", ((F.col("square") - F.col("size")) / (F.col("size") * (F.col("size") - 1.0))).alias("cosine")).collect()
+    return max((passes_for(r["size"], r["cosine"], threshold, window, least) for r in found), default=least)
+
+
 def _passes(nodes: DataFrame, kind: str, passes: int) -> DataFrame:
     """Each node once for each pass, with its code and its rank in the order of all passes."""
 
@@ -93,10 +129,10 @@ def _passes(nodes: DataFrame, kind: str, passes: int) -> DataFrame:
                 if n not in planes:
                     planes.clear()
                     planes[n] = np.random.default_rng([SEED, int(n)]).standard_normal((int(n), passes * PASS_BITS))
-                side = _unit(own.column("vec"), kind) @ planes[n] > 0
-                code = np.packbits(side, axis=1).reshape(len(at), passes, PASS_BITS // 8)
+                unit = _unit(own.column("vec"), kind)
                 for k in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), own.column("label"), own.column("dim"), pa.array([c.tobytes() for c in code[:, k]], pa.binary()), own.column("node"), own.column("vec")], ["pass", "label", "dim", "code", "node", "vec"])
+                    code = np.packbits(unit @ planes[n][:, k * PASS_BITS : (k + 1) * PASS_BITS] > 0, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), own.column("label"), own.column("dim"), pa.array([c.tobytes() for c in code], pa.binary()), own.column("node"), own.column("vec")], ["pass", "label", "dim", "code", "node", "vec"])
 
     def numbered(batches):
         from pyspark import TaskContext
@@ -120,8 +156,24 @@ def _passes(nodes: DataFrame, kind: str, passes: int) -> DataFrame:
     return ordered.withColumn("rank", F.get(F.lit(starts).cast("array<long>"), F.col("part")) + F.col("at"))
 
 
+def _spanning(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the symmetric matrix connects."""
+    left, out = np.ones(len(hit), bool), []
+    for first in range(len(hit)):
+        if not left[first]:
+            continue
+        left[first], queue = False, [first]
+        while queue:
+            p = queue.pop()
+            new = np.flatnonzero(hit[p] & left)
+            left[new] = False
+            out += [(p, int(q)) for q in new]
+            queue += new.tolist()
+    return out
+
+
 def _window_pairs(ranked: DataFrame, kind: str, threshold: float, window: int) -> DataFrame:
-    """Verified pairs (a, b), a < b, of neighbours in the order; blocks overlap by a window."""
+    """Verified pairs (a, b), a < b, that connect all such neighbours in the order; blocks overlap by a window."""
 
     def compared(batches):
         for (block,), table in _runs(batches, ["block"]):
@@ -131,11 +183,19 @@ def _window_pairs(ranked: DataFrame, kind: str, threshold: float, window: int) -
             for a, b in zip(change, change[1:], strict=False):
                 x, node = _unit(table.column("vec").combine_chunks().slice(a, b - a), kind), table.column("node").to_numpy()[a:b]
                 own = rank[a:b] < (block + 1) * BLOCK
-                for k in range(1, min(window, b - a - 1) + 1):
-                    hit = np.flatnonzero((np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold) & own[:-k])
-                    if len(hit):
-                        p, q = node[hit], node[hit + k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                hit = np.zeros((b - a, b - a), bool)
+                for c in range(0, int(own.sum()), TILE):
+                    p, q = np.arange(c, min(c + TILE, int(own.sum()))), np.arange(c, min(c + TILE + window, b - a))
+                    sims = x[p] @ x[q].T
+                    # near the threshold the sum of products decides, as in the tiles
+                    for i, j in zip(*np.nonzero(np.abs(sims - threshold) < 1e-9), strict=True):
+                        sims[i, j] = np.einsum("i,i->", x[p[i]], x[q[j]])
+                    apart = q[None] - p[:, None]
+                    hit[p[0] : p[-1] + 1, q[0] : q[-1] + 1] = (sims >= threshold) & (apart > 0) & (apart <= window)
+                found = np.array(_spanning(hit | hit.T), np.int64).reshape(-1, 2)
+                if len(found):
+                    u, v = node[found[:, 0]], node[found[:, 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
 
     home = F.floor(F.col("rank") / BLOCK)
     blocks = F.when(F.col("rank") % BLOCK < window, F.array(home, home - 1)).otherwise(F.array(home))
@@ -187,6 +247,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = P
     rows = materialize(rows, "vectors")
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     nodes = materialize(nodes, "nodes")
+    passes = _passes_of(nodes, kind, threshold, window, passes)
     pairs = materialize(_window_pairs(_passes(nodes.select("label", "dim", "node", "vec"), kind, passes), kind, threshold, window), "pairs")
     found = materialize(components(pairs), "components")
     counts = _tile_counts(nodes.select("node", "n", "vec"), found, kind, threshold)
