@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import huffman
 from .common import map_arrow, materialize
-from .word_ids import encode_with_end
+from .word_ids import WordEncoder, encode_with_end, encoder
 
 #: A block closes with the document that takes it to so many ids.
 BLOCK_IDS = 65_536
@@ -43,7 +43,7 @@ def _bounds(docs: DataFrame) -> list[int]:
 
 
 def _staged(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Blocks of whole documents with plain 16-bit or 32-bit ids; null doc_ids come first."""
+    """Blocks of whole documents with plain ids, of 16 bits where the vocabulary's fit; null doc_ids come first."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bounds = _bounds(docs)
@@ -53,28 +53,29 @@ def _staged(docs: DataFrame, vocabulary: str) -> DataFrame:
         vocabulary, bounds = shipped.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            coded = [np.frombuffer(x, "<u4") for x in encode_with_end((x.as_py() for x in batch.column(1)), vocabulary)]
+            coded = [x.tobytes() for x in encode_with_end((x.as_py() for x in batch.column(1)), vocabulary)]
             stretch = [0 if i is None else bisect_right(bounds, i) for i in ids]
-            # ids of this vocabulary fit 16 bits
-            yield pa.RecordBatch.from_arrays([pa.array(stretch, pa.int32()), pa.array(ids, pa.int64()), pa.array([x.astype("<u2").tobytes() for x in coded], pa.binary())], ["stretch", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(stretch, pa.int32()), pa.array(ids, pa.int64()), pa.array(coded, pa.binary())], ["stretch", "doc_id", "ids"])
 
     def blocks(batches):
+        width = encoder(shipped.value[0]).kind.itemsize
         now, before, block, docs, lens, held, size = None, 0, 0, [], [], [], 0
 
         def closed():
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([b"".join(held)], pa.binary())], ["stretch", "block", "before", "doc_ids", "lens", "ids"])
 
         for batch in batches:
-            for stretch, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for stretch, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if docs and (stretch != now or size >= BLOCK_IDS):
                     yield closed()
                     before, block, docs, lens, held, size = before + size, block + 1, [], [], [], 0
                 if stretch != now:
                     now, before, block = stretch, 0, 0
+                raw = ids.as_buffer()
                 docs.append(doc)
-                lens.append(len(ids) // 2)
-                held.append(ids)
-                size += len(ids) // 2
+                lens.append(raw.size // width)
+                held.append(raw)
+                size += raw.size // width
         if docs:
             yield closed()
 
@@ -84,18 +85,19 @@ def _staged(docs: DataFrame, vocabulary: str) -> DataFrame:
     return materialize(map_arrow(dealt, blocks, _STAGED), "ids")
 
 
-def _histogram(staged: DataFrame) -> np.ndarray:
+def _histogram(staged: DataFrame, own: WordEncoder) -> np.ndarray:
     """How often each id occurs; the driver gets a row for each id of the vocabulary at most."""
+    size, kind = len(own), own.kind
 
     def count(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=1 << 16)
+                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
-    counts = np.zeros(1 << 16, np.int64)
+    counts = np.zeros(size, np.int64)
     for r in map_arrow(staged.select("ids"), count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return counts
@@ -110,7 +112,8 @@ def write(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     staged = _staged(docs, vocabulary)
-    lengths = huffman.code_lengths(_histogram(staged))
+    own = encoder(vocabulary)
+    kind, lengths = own.kind, huffman.code_lengths(_histogram(staged, own))
     sizes = staged.groupBy("stretch").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()
     base, total = {}, 0
     for r in sorted(sizes, key=lambda r: r["stretch"]):
@@ -126,7 +129,7 @@ def write(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, DataFrame]:
             stretch, before = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             rows = []
             for x in batch.column(5):
-                ids = np.frombuffer(x.as_buffer(), "<u2")
+                ids = np.frombuffer(x.as_buffer(), kind)
                 payload, checkpoints = huffman.encode(ids, lengths, codes)
                 rows.append((payload, checkpoints.astype("<u4").tobytes(), len(ids), zlib.crc32(payload)))
             payload, checkpoints, n, crc = zip(*rows, strict=True) if rows else [[]] * 4
@@ -144,8 +147,9 @@ def read_tokens(codes: DataFrame, blocks: DataFrame, rows=None, schema: str = "d
     ``rows`` gets (doc_ids, starts, arrays of ids) of some blocks and returns the
     columns of ``schema``. A block whose checksum is wrong raises an error.
     """
-    lengths = np.zeros(1 << 16, np.uint8)
-    for r in codes.collect():  # one row for each id of the vocabulary at most
+    used = codes.collect()  # one row for each id of the vocabulary at most
+    lengths = np.zeros(max((r["id"] for r in used), default=0) + 1, np.uint8)
+    for r in used:
         lengths[r["id"]] = r["bits"]
     shipped = codes.sparkSession.sparkContext.broadcast(lengths)
     if rows is None:

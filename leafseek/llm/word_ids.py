@@ -1,22 +1,27 @@
-"""Ids of texts under the lower-casing word vocabulary, encoded chunk by chunk.
+"""Ids of texts under the lower-casing word vocabulary, encoded piece by piece.
 
 The tokenizer drops white space and never joins text across it, so the ids of a
 text are those of its pieces between blanks and line feeds, one after another.
-That makes a cache of pieces exact. A piece that is not cached takes the
-library's model directly where it is plain Latin letters with at most one mark
-behind them, and the whole library otherwise.
+That makes a cache of pieces exact. Of the pieces that are not cached, plain Latin
+letters with at most one mark behind them go to the library's model as a
+lower-cased word, once for all its forms; the others go to the whole library.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 
 #: The id that ends each document.
 END_ID = 1
-#: Letters below this code point keep their form under NFC and have a one-letter lower case, but for U+0130.
-_LATIN_END = "ɐ"
+#: Letters below U+0250 but U+0130, which keep their form under NFC and have a one-letter lower case; one mark may follow.
+_PLAIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+[.,;:!?]?")
 _MARKS = frozenset(".,;:!?")
+#: Characters of texts that are encoded together, and the longest piece that is kept.
+TOGETHER, LONGEST = 1 << 20, 64
 _ENCODERS: dict[int, "WordEncoder"] = {}
 
 
@@ -30,60 +35,91 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordEncoder(dict):
-    """Maps a piece of text to the little-endian 32-bit ids of its tokens.
+class WordEncoder:
+    """Maps texts to the little-endian ids of their tokens, of 16 bits where all ids fit, else of 32.
 
-    The cache holds two generations of at most ``generation`` pieces; the older
-    one goes when the younger is full, so frequent pieces stay.
+    The cache holds two generations of about ``generation`` pieces; the older one
+    goes when the younger is full, so frequent pieces stay.
     """
 
-    def __init__(self, vocabulary: str, generation: int = 200_000):
+    def __init__(self, vocabulary: str, generation: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._tokenizer = Tokenizer.from_str(vocabulary)
-        self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
+        held = self._tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(held.values()) < 1 << 16 else "<u4")
+        self._packed = [i.to_bytes(self.kind.itemsize, "little") for i in range(max(held.values()) + 1)]
         self._letters = str.maketrans(_byte_letters())
+        # plain words need no normalizer where the vocabulary lower-cases and spells words by bytes
+        self._lowers = self._tokenizer.encode("AÉ", add_special_tokens=False).ids == [t.id for t in self._tokenizer.model.tokenize("a" + "é".encode().decode("latin-1").translate(self._letters))]
+        self._start()
         self._old: dict[str, bytes] = {}
         self._generation = generation
 
-    def _whole(self, piece: str) -> bytes:
-        ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def _plain(self, word: str) -> bytes:
-        if word.isascii():
-            spelled = word.lower()
-        else:
-            spelled = word.lower().encode().decode("latin-1").translate(self._letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self._model.tokenize(spelled))
-
-    def _compute(self, piece: str) -> bytes:
-        body = piece[:-1] if piece[-1:] in _MARKS else piece
-        if not (body.isalpha() and max(body) < _LATIN_END and "İ" not in body):
-            return self._whole(piece)
-        found = self._plain(body)
-        return found if body is piece else found + self[piece[-1]]
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece in self._old:
-            found = self._old[piece]
-        else:
-            found = self._compute(piece) if piece else b""
-        if len(piece) <= 64:
-            if len(self) >= self._generation:
-                self._old = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, without an end id; null counts as empty."""
-        if not text:
-            return b""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def __len__(self) -> int:
+        """One more than the largest id."""
+        return len(self._packed)
+
+    def _learn(self, new: list[str]) -> None:
+        young, old, packed = self._young, self._old, self._packed
+        bodies, odd = set(), []
+        for p in new:
+            if p in old:
+                young[p] = old[p]
+            elif _PLAIN.fullmatch(p) and self._lowers:
+                bodies.add((p[:-1] if p[-1] in _MARKS else p).lower())
+            else:
+                odd.append(p)
+        tokenize, letters = self._tokenizer.model.tokenize, self._letters
+        for body in bodies:
+            if body in young:
+                continue
+            if body in old:
+                young[body] = old[body]
+                continue
+            spelled = body if body.isascii() else body.encode().decode("latin-1").translate(letters)
+            young[body] = b"".join([packed[t.id] for t in tokenize(spelled)])
+        for p, coded in zip(odd, self._tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True) if odd else ():
+            young[p] = b"".join([packed[i] for i in coded.ids])
+        for p in new:
+            if p not in young:
+                young[p] = young[p[:-1].lower()] + young[p[-1]] if p[-1] in _MARKS else young[p.lower()]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each whole text, without an end id; null counts as empty."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(text.replace("\n", " ").split(" ") if text else [])
+            size += len(text) if text else 0
+            if size >= TOGETHER:
+                yield from self._coded(held)
+                held, size = [], 0
+        yield from self._coded(held)
+
+    def _start(self) -> None:
+        self._young: dict[str, bytes] = {"": b""}
+        for mark in _MARKS:
+            self._young[mark] = b"".join([self._packed[i] for i in self._tokenizer.encode(mark, add_special_tokens=False).ids])
+
+    def _coded(self, held: list[list[str]]) -> Iterator[bytes]:
+        if len(self._young) >= self._generation:
+            self._old = self._young
+            self._start()
+        young = self._young
+        new = [p for p in set().union(*held) if p not in young]
+        self._learn(new)
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in held]
+        for p in new:
+            if len(p) > LONGEST:
+                young.pop(p, None)
+                young.pop(p.lower(), None)
+        return iter(out)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of one text."""
+        return np.frombuffer(next(self.encode_all([text])), self.kind)
 
 
 def encoder(vocabulary: str) -> WordEncoder:
@@ -95,8 +131,9 @@ def encoder(vocabulary: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def encode_with_end(texts: Iterable[str | None], vocabulary: str):
-    """For each text the bytes of its ids with the end id."""
-    own, end = encoder(vocabulary), END_ID.to_bytes(4, "little")
-    for text in texts:
-        yield own.encode(text) + end
+def encode_with_end(texts: Iterable[str | None], vocabulary: str) -> Iterator[np.ndarray]:
+    """For each text its ids with the end id."""
+    own = encoder(vocabulary)
+    end = np.array([END_ID], own.kind).tobytes()
+    for coded in own.encode_all(texts):
+        yield np.frombuffer(coded + end, own.kind)
