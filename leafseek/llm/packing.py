@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize
 from .word_ids import encode_with_end
 
-#: Pieces of one length that a salt of the ranking holds on average.
-RANK_GROUP = 4096
+#: Pieces of one length that a salt of the ranking holds on average, and the most salts of a length.
+RANK_GROUP, MOST_GROUPS = 1024, 1 << 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -112,8 +112,8 @@ def cut(docs: DataFrame, vocabulary: str, width: int = 2048, unit: int = 256) ->
         for batch in batches:
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode_with_end((x.as_py() for x in batch.column(1)), shipped.value), strict=True):
-                n = len(ids) // 4
-                out += [(doc, a, m, zlib.crc32(ids[4 * a : 4 * (a + m)]), n) for a, m in cuts(n, width, unit)]
+                ids = ids.astype("<u4")
+                out += [(doc, a, m, zlib.crc32(ids[a : a + m]), len(ids)) for a, m in cuts(len(ids), width, unit)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -128,17 +128,18 @@ def pack(pieces: DataFrame, width: int = 2048) -> DataFrame:
     Ranks come from salted groups: a length that most pieces share is ranked in
     many tasks.
     """
-    pieces = materialize(pieces, "pieces")
+    # the rows' numbers are written, so that copies of a row part and a lost task finds the same ones again
+    pieces = materialize(pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("row")), "pieces")
     by_length = pieces.groupBy("length").count().collect()
     groups = [1] * (width + 1)
     for r in by_length:
-        groups[r["length"]] = -(-r["count"] // RANK_GROUP)
+        groups[r["length"]] = min(MOST_GROUPS, -(-r["count"] // RANK_GROUP))
     table = slots(shortest_pack_first({r["length"]: r["count"] for r in by_length}, width))
     shipped = pieces.sparkSession.sparkContext.broadcast(table)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.get(F.lit(groups), F.col("length").cast("int"))).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.get(F.lit(groups), F.col("length").cast("int"))).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("group_start"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    within = Window.partitionBy("length", "salt").orderBy("row")
     ranked = salted.withColumn("place", F.row_number().over(within)).join(starts, ["length", "salt"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("group_start") + F.col("place") - 1).alias("rank"))
 
     def place(batches):
