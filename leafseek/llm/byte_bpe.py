@@ -1,13 +1,15 @@
 """Byte-level BPE: encoding by ranked merges in Spark expressions, and decoding.
 
 Documents are taken in blocks. A first Arrow pass splits the texts of a block
-and lists its distinct words; Spark higher-order functions then fold the ranked
-merges over the bytes of each distinct word; a second Arrow pass puts the ids of
-the words in the documents' order. A block is one row all along, so nothing is
-shuffled and no dictionary grows with the corpus.
-
-The rank map is a literal: pairs of ids and their ranks stand in an array at the
-slots of a perfect hash, so a lookup is a product and three array reads.
+and lists the distinct words that the blocks before it in its task did not have;
+Spark higher-order functions then fold the ranked merges over the bytes of each
+word; a second Arrow pass, in the same task, keeps the words' ids and puts them
+in the documents' order. A block is one row all along, so nothing is shuffled. A
+task begins anew after a bounded number of distinct words, so no dictionary grows
+with the corpus.
+
+The rank map is a literal: rows of pairs of ids in one array, displaced so that
+they do not meet; a lookup is a sum and three array reads.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 import heapq
 import json
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,16 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 #: A block closes with the document that takes it to so many characters.
-BLOCK_CHARS = 10 << 20
+BLOCK_CHARS = 4 << 20
+#: Distinct words from which on a task begins a new list of them.
+GENERATION = 400_000
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
 #: White space other than single blanks and line feeds needs the whole pattern.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
-_BLOCK = "doc_ids array<long>, n_words array<int>, places binary, words array<array<int>>, long array<struct<at: int, word: binary>>"
+#: Words that the pattern leaves whole behind a blank, with one mark at most that it parts from them.
+_PLAIN, _MARKS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+[.,;:!?]?"), frozenset(".,;:!?")
+_BLOCK = "fresh boolean, doc_ids array<long>, n_words array<int>, places binary, words array<array<int>>, long array<struct<at: int, word: binary>>"
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -44,72 +51,81 @@ class PairMap:
     """The ranks as literals of a Spark expression.
 
     A pair of ids leads to the rank of their bytes together, which is the id of
-    the merged piece. Pairs stand in one array at the slots of a perfect hash by
-    displacement, each with its rank in the lowest 16 bits.
+    the merged piece. The pairs of each left id are a row; rows are displaced
+    into one array so that none of their entries meet, and an entry holds its
+    left id above the rank. A lookup is a sum and three array reads: the entry,
+    with the left id taken off, is the rank where the entry is the pair's, and
+    beyond all ranks elsewhere.
+
+    In the fold a pair stands as one number: its rank, the offset of its first
+    byte, and its left id, from the highest bits on.
     """
 
-    WIDTH, BUCKET_BITS = 16, 16
-    #: An id that no pair holds; it stands at both ends of a word.
-    NONE = (1 << WIDTH) - 1
-    FACTOR = 0x2545F491
-    #: The rank of pairs that do not merge.
-    NEVER = 1 << 20
+    WIDTH, RANK_AT = 16, 40
+    #: An id that no pair holds; it stands at both ends of a word, as byte 256.
+    NONE, END = (1 << WIDTH) - 1, 256
+    #: Pairs that do not merge are from this on.
+    NEVER = 1 << 20 + RANK_AT
 
     def __init__(self, ranks: dict[bytes, int]):
         if any(rank >= self.NONE for rank in ranks.values()):
             raise ValueError("too many ranks")
-        pairs = {ranks[t[:i]] << self.WIDTH | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        rows: dict[int, dict[int, int]] = {}
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if t[:i] in ranks and t[i:] in ranks:
+                    rows.setdefault(ranks[t[:i]], {})[ranks[t[i:]]] = r
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         if self.bytes.max() > 255:
             raise ValueError("single bytes have the first 256 ranks")
-        # pairs of bytes, and of a byte and a word's end
-        self.first = [pairs.get(a << self.WIDTH | b, self.NEVER) if a < 256 and b < 256 else self.NEVER for a in range(257) for b in range(257)]
-        self.slot_mask = (1 << max(8, (3 * len(pairs)).bit_length())) - 1
-        buckets: dict[int, list[int]] = {}
-        for key in pairs:
-            buckets.setdefault(key * self.FACTOR >> 40 & (1 << self.BUCKET_BITS) - 1, []).append(key)
-        self.table, self.shifts = [-1] * (self.slot_mask + 1), [0] * (1 << self.BUCKET_BITS)
-        free = 0
-        for bucket, held in sorted(buckets.items(), key=lambda x: -len(x[1])):
-            homes = [k * self.FACTOR >> 11 for k in held]
-            if len({h & self.slot_mask for h in homes}) < len(homes):
-                raise ValueError("two pairs of a bucket share a slot")
-            shift = free - (homes[0] & self.slot_mask) if len(held) == 1 else 0
-            while any(self.table[h + shift & self.slot_mask] >= 0 for h in homes):
-                shift += 1
-            self.shifts[bucket] = shift & self.slot_mask
-            for h, key in zip(homes, held, strict=True):
-                self.table[h + shift & self.slot_mask] = key << self.WIDTH | pairs[key]
-            while free <= self.slot_mask and self.table[free] >= 0:
-                free += 1
+        ends = self.END + 1
+        first = np.full((ends, ends), self.NEVER, np.int64) + np.append(np.arange(self.END), self.NONE)[:, None]
+        for a in range(self.END):
+            for b, r in rows.get(a, {}).items():
+                if b < self.END:
+                    first[a, b] = (r << self.RANK_AT) + a
+        self.first = first.ravel().tolist()
+        self.ranks = [r << self.RANK_AT for r in range(self.NONE)]
+        self._displace(rows)
+
+    def _displace(self, rows: dict[int, dict[int, int]]) -> None:
+        """Each row, the longest first, stands at a place where all its entries are free."""
+        span = 9 * sum(map(len, rows.values())) + 1
+        free, draw = np.ones(span + self.NONE, bool), np.random.default_rng(0)
+        table = np.full(len(free), -1, np.int64)
+        self.rows = [0] * (1 << self.WIDTH)
+        for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            rights = np.fromiter(row, np.int64, len(row))
+            fits = np.zeros(0, bool)
+            while not fits.any():
+                places = draw.integers(0, span, 32)
+                fits = free[places[:, None] + rights].all(1)
+            at = int(places[fits.argmax()])
+            self.rows[left] = at
+            free[at + rights] = False
+            table[at + rights] = left << self.WIDTH | np.fromiter(row.values(), np.int64, len(row))
+        self.table = table.astype(np.uint32).view(np.int32).tolist()
 
     def attach(self, df: DataFrame) -> DataFrame:
-        """``df`` with the literals as columns, which ``rank`` reads.
+        """``df`` with the literals as columns, which ``start`` and ``rank`` read.
 
         The literals are parsed once, in scalar subqueries. Inside the fold's
         expressions each would be printed and compared dozens of times.
         """
         literal = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-        parts = {"table": literal(self.table, "bigint"), "shifts": literal(self.shifts, "bigint"), "first": literal(self.first, "bigint"), "ids": literal(list(range(self.NONE)), "bigint")}
-        one = df.sparkSession.range(1).select(*[c.alias(k) for k, c in parts.items()])
-        for k in parts:
-            setattr(self, f"c_{k}", F.col(f"pairs_{k}"))
+        parts = {"table": (self.table, "int"), "rows": (self.rows, "int"), "first": (self.first, "bigint"), "ranks": (self.ranks, "bigint")}
+        one = df.sparkSession.range(1).select(*[literal(*c).alias(k) for k, c in parts.items()])
         return df.select("*", *[one.select(k).scalar().alias(f"pairs_{k}") for k in parts])
 
-    def first_rank(self, left: Column, right: Column) -> Column:
-        """The rank of two bytes of a word, or NEVER."""
-        return F.coalesce(F.get(self.c_first, F.least(left, F.lit(256)) * 257 + F.least(right, F.lit(256))), F.lit(self.NEVER).cast("bigint"))
+    def start(self, left: Column, right: Column, offset: Column) -> Column:
+        """The number of two bytes of a word; the last has none on its right."""
+        known = F.coalesce(F.get("pairs_first", left * (self.END + 1) + right), F.lit(self.NEVER + self.NONE))
+        return known + offset.cast("bigint") * (1 << self.WIDTH)
 
     def rank(self, left: Column, right: Column) -> Column:
-        """The rank of two ids together, or NEVER; no part is evaluated twice but the key."""
-        key = left * (1 << self.WIDTH) + right
-        hashed = key * self.FACTOR
-        shift = F.get(self.c_shifts, F.shiftright(hashed, 40).bitwiseAND(F.lit((1 << self.BUCKET_BITS) - 1)).cast("int"))
-        slot = (F.shiftright(hashed, 11) + shift).bitwiseAND(F.lit(self.slot_mask)).cast("int")
-        # the entry less the key is a rank where the entry is the key's, and out of range elsewhere
-        beyond = F.get(self.c_table, slot) - key * (1 << self.WIDTH)
-        known = F.get(self.c_ids, F.least(F.greatest(beyond, F.lit(-1).cast("bigint")), F.lit(self.NONE).cast("bigint")).cast("int"))
-        return F.coalesce(known, F.lit(self.NEVER).cast("bigint"))
+        """The rank of two ids, in its bits, or NEVER."""
+        entry = F.get("pairs_table", F.get("pairs_rows", left) + right)
+        return F.coalesce(F.get("pairs_ranks", entry.bitwiseXOR(F.shiftleft(left, self.WIDTH))), F.lit(self.NEVER))
 
 
 def _let(value: Column, body) -> Column:
@@ -120,27 +136,29 @@ def _let(value: Column, body) -> Column:
 def encode_word(word: Column, pairs: PairMap) -> Column:
     """Ids of the bytes of one word, by merging the adjacent pair of the lowest rank until none has one.
 
-    ``word`` is the array of its bytes' ids between two end marks. The state of
-    the fold is an array of the rank of each id with the next, times 2**16, plus
-    the id: its least entry is the next merge, and the rank is the merged id. A
-    merge replaces two entries and looks up the two pairs beside it only.
+    ``word`` is the array of its bytes' ids between two end marks. The fold goes
+    over the array of the pairs' numbers: the least is the next merge, the first
+    of equal ranks, and its rank is the merged id. A merge replaces two entries
+    and looks up the two pairs beside it only.
     """
-    one = 1 << PairMap.WIDTH
-    start = F.transform(word, lambda a, i: pairs.first_rank(a, F.get(word, i + 1)) * one + a)
-    id_of = lambda x: x.bitwiseAND(F.lit(one - 1))
+    start = F.transform(word, lambda a, i: pairs.start(a, F.get(word, i + 1), i))
+    id_of = lambda x: x.bitwiseAND(F.lit(PairMap.NONE)).cast("int")
+    own = lambda x: x.bitwiseAND(F.lit((1 << PairMap.RANK_AT) - 1))
+    offset = lambda x: x.bitwiseAND(F.lit((1 << PairMap.RANK_AT) - (1 << PairMap.WIDTH)))
+    new = lambda x: F.shiftright(x, PairMap.RANK_AT)
 
-    def merged(q: Column, k: Column, new: Column) -> Column:
-        left, many = id_of(F.get(q, k - 2)), F.lit(1 << 20)
-        both = F.array(pairs.rank(left, new) * one + left, pairs.rank(new, id_of(F.get(q, k + 1))) * one + new)
-        return F.flatten(F.array(F.slice(q, F.lit(1), k - 2), both, F.slice(q, k + 2, many)))
+    def merged(q: Column, low: Column, k: Column) -> Column:
+        left, rank = F.get(q, k - 2), new(low).cast("int")
+        both = F.array(pairs.rank(id_of(left), rank) + own(left), pairs.rank(rank, id_of(F.get(q, k + 1))) + offset(low) + new(low))
+        return F.flatten(F.array(F.slice(q, F.lit(1), k - 2), both, F.slice(q, k + 2, F.lit(1 << 20))))
 
     def step(q: Column, _: Column) -> Column:
-        apply = lambda low: _let(F.array_position(q, low).cast("int"), lambda k: merged(q, k, F.shiftright(low, PairMap.WIDTH)))
-        return _let(F.array_min(q), lambda low: F.when(low >= PairMap.NEVER * one, q).otherwise(apply(low)))
+        apply = lambda low: _let(F.array_position(q, low).cast("int"), lambda k: merged(q, low, k))
+        return _let(F.array_min(q), lambda low: F.when(low < PairMap.NEVER, apply(low)).otherwise(q))
 
-    # a word of n bytes takes n - 1 merges at most; the sequence begins with a turn that may find none left
-    folded = F.aggregate(F.sequence(F.lit(1), F.size(word) - 2), start, step)
-    return _let(folded, lambda q: F.transform(F.slice(q, F.lit(2), F.size(q) - 2), lambda x: id_of(x).cast("int")))
+    # a word of n bytes takes n - 1 merges at most
+    folded = F.aggregate(F.slice(word, F.lit(1), F.size(word) - 3), start, step)
+    return _let(folded, lambda q: F.transform(F.slice(q, F.lit(2), F.size(q) - 2), id_of))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -172,7 +190,7 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Splitter(dict):
-    """Places of the words of a chunk among the block's distinct words, as bytes of 32-bit integers."""
+    """Places of the words of a chunk among the distinct words so far, as bytes of 32-bit integers."""
 
     def __init__(self, pattern):
         super().__init__()
@@ -180,11 +198,14 @@ class _Splitter(dict):
 
     def places(self, found: list[str]) -> bytes:
         own = self.words
-        return b"".join(own.setdefault(w, len(own)).to_bytes(4, "little") for w in found)
+        return b"".join([own.setdefault(w, len(own)).to_bytes(4, "little") for w in found])
 
     def __missing__(self, chunk: str) -> bytes:
         # a chunk stands behind a blank, or behind a line feed that it begins with
-        out = self.places(self.find(chunk if chunk[0] == "\n" else " " + chunk))
+        if _PLAIN.fullmatch(chunk):
+            out = self.places([" " + chunk] if chunk[-1] not in _MARKS else [" " + chunk[:-1], chunk[-1]])
+        else:
+            out = self.places(self.find(chunk if chunk[:1] == "\n" else " " + chunk))
         if len(chunk) <= 64:
             self[chunk] = out
         return out
@@ -196,6 +217,21 @@ class _Splitter(dict):
         return self.places(self.find(first)) + b"".join(map(self.__getitem__, rest))
 
 
+def _byte_lists(words: list[str], byte_ids: np.ndarray) -> tuple[pa.ListArray, list[dict]]:
+    """The ids of each word's bytes between two end marks; of long words the marks alone, and the words apart."""
+    own = [w.encode() for w in words]
+    long = [{"at": i, "word": w} for i, w in enumerate(own) if len(w) > FOLD_BYTES]
+    for x in long:
+        own[x["at"]] = b""
+    lens = np.fromiter(map(len, own), np.int64, len(own))
+    ends = np.cumsum(lens + 2)
+    flat = np.full(ends[-1] if len(own) else 0, PairMap.END, np.int32)
+    inner = np.ones(len(flat), bool)
+    inner[ends - 1] = inner[ends - lens - 2] = False
+    flat[inner] = byte_ids[np.frombuffer(b"".join(own), np.uint8)]
+    return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(flat)), long
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """Ids of each text, or what ``rows`` makes of (doc_ids, arrays of ids, ranks).
 
@@ -211,30 +247,22 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
 
     def words(batches):
         compiled = regex.compile(pattern)
-        splitter, ids, counts, places, size = _Splitter(compiled), [], [], [], 0
+        splitter, known, ids, counts, places, size = _Splitter(compiled), 0, [], [], [], 0
 
         def closed():
-            own = [w.encode() for w in splitter.words]
-            long = [{"at": i, "word": w} for i, w in enumerate(own) if len(w) > FOLD_BYTES]
-            for x in long:
-                own[x["at"]] = b""
-            lens = np.fromiter(map(len, own), np.int64, len(own))
-            ends = np.cumsum(lens + 2)
-            flat = np.full(ends[-1] if len(own) else 0, PairMap.NONE, np.int32)
-            inner = np.ones(len(flat), bool)
-            inner[ends - 1] = inner[ends - lens - 2] = False
-            flat[inner] = byte_ids[np.frombuffer(b"".join(own), np.uint8)]
-            nested = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(flat))
-            rows = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), nested)
+            nested, long = _byte_lists(list(islice(splitter.words, known, None)), byte_ids)
             kinds = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary())]))
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), rows, pa.array([long], kinds)], ["doc_ids", "n_words", "places", "words", "long"])
+            own = pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested)
+            return pa.RecordBatch.from_arrays([pa.array([known == 0]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), own, pa.array([long], kinds)], ["fresh", "doc_ids", "n_words", "places", "words", "long"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 if ids and size >= BLOCK_CHARS:
                     yield closed()
-                    splitter, ids, counts, places, size = _Splitter(compiled), [], [], [], 0
+                    known, ids, counts, places, size = len(splitter.words), [], [], [], 0
+                    if known >= GENERATION:
+                        splitter, known = _Splitter(compiled), 0
                 own = splitter.split(text) if text else b""
                 ids.append(doc)
                 counts.append(len(own) // 4)
@@ -245,33 +273,37 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
 
     def gathered(batches):
         ranks = shipped.value
+        flat, begins = np.zeros(0, np.uint16), np.zeros(1, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                docs, counts = batch.column(0)[i].as_py(), np.array(batch.column(1)[i].as_py(), np.int64)
-                places = np.frombuffer(batch.column(2)[i].as_buffer(), "<i4")
-                coded, long = batch.column(3)[i].values, batch.column(4)[i].values
-                flat = coded.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-                lens = np.diff(coded.offsets.to_numpy()).astype(np.int64)
+                fresh, docs, counts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), np.array(batch.column(2)[i].as_py(), np.int64)
+                places = np.frombuffer(batch.column(3)[i].as_buffer(), "<i4")
+                coded, long = batch.column(4)[i].values, batch.column(5)[i].values
+                new, lens = coded.flatten().to_numpy(zero_copy_only=False).astype(np.uint16), np.diff(coded.offsets.to_numpy()).astype(np.int64)
                 if len(long):  # words for the heap, which the fold left out
                     extra = {j: heap_merges(w, ranks) for j, w in zip(long.field("at").to_pylist(), long.field("word").to_pylist(), strict=True)}
-                    begins = np.concatenate([[0], np.cumsum(lens)])
-                    parts = [flat[begins[j] : begins[j + 1]] if j not in extra else np.array(extra[j], np.uint32) for j in range(len(lens))]
-                    flat, lens = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-                begins = np.cumsum(lens) - lens
+                    parts = np.split(new, np.cumsum(lens)[:-1])
+                    parts = [x if j not in extra else np.array(extra[j], np.uint16) for j, x in enumerate(parts)]
+                    new, lens = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+                if fresh:
+                    flat, begins = new, np.concatenate([[0], np.cumsum(lens)])
+                else:
+                    flat, begins = np.concatenate([flat, new]), np.concatenate([begins, begins[-1] + np.cumsum(lens)])
                 ids, at = [], 0
                 for n in counts:
                     own = places[at : at + n]
                     at += n
-                    m = lens[own]
+                    first = begins[own]
+                    m = begins[own + 1] - first
                     ends = np.cumsum(m)
-                    ids.append(flat[np.arange(ends[-1] if n else 0) + np.repeat(begins[own] - ends + m, m)])
+                    ids.append(flat[np.arange(ends[-1] if n else 0) + np.repeat(first - ends + m, m)])
                 columns = rows(docs, ids, ranks)
                 yield pa.RecordBatch.from_arrays(columns, [f"c{j}" for j in range(len(columns))])
 
     blocks = pairs.attach(map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), words, _BLOCK))
     # a long word is empty here and has no bytes to fold
     coded = F.transform("words", lambda w: F.when(F.size(w) > 2, encode_word(w, pairs)).otherwise(F.array().cast("array<int>")))
-    blocks = blocks.select("doc_ids", "n_words", "places", coded.alias("ids"), "long")
+    blocks = blocks.select("fresh", "doc_ids", "n_words", "places", coded.alias("ids"), "long")
     names = [x.split()[0] for x in schema.split(", ")]
     internal = ", ".join(f"c{i} {x.split(' ', 1)[1]}" for i, x in enumerate(schema.split(", ")))
     return map_arrow(blocks, gathered, internal).toDF(*names)

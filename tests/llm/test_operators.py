@@ -341,15 +341,17 @@ def plain_ids(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(entries.word_vocabulary())
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_word_ids_equal_the_library():
     encoder = WordEncoder(entries.word_vocabulary(), generation=5)
-    extra = ["don't we'LL", "a  b\tc\x0bd", "é é́", "ΣΑΣ Σ", "…—“x”", "a\x1cb", "１２ ½", "<|endoftext|> x", "ﬁ ª º ŉ", "word,word;x..."]
-    for text in [t for _, t in TEXTS if t] + extra:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain_ids(text)[:-1], text
+    extra = ["don't we'LL", "a  b\tc\x0bd", "é é́", "ΣΑΣ Σ", "…—“x”", "a\x1cb", "１２ ½", "<|endoftext|> x", "ab<|startoftext|>c <|endoftext|>.", "ﬁ ª º ŉ", "word,word;x...", "İx ǅ x, X, x. é, É", "Ab" * 99 + "! x", ", . !"]
+    texts = [t for _, t in TEXTS if t] + extra
+    for _ in range(2):
+        for text in texts:
+            assert encoder.encode(text).tolist() == plain_ids(text)[:-1], text
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode_all([*texts, None])] == [plain_ids(t)[:-1] for t in texts] + [[]]
 
 
 def test_huffman():
