@@ -42,16 +42,19 @@ def _joined(chars: str) -> list[tuple[int, int]]:
 
 def normalize_with_map(value: str, casefold: bool = True, join_hyphenated_linebreaks: bool = True) -> tuple[str, list[tuple[int, int]]]:
     """The text and, for each of its characters, the first and last source character (1-based)."""
-    chars: list[str] = []
-    ranges: list[tuple[int, int]] = []
-    at = 1
-    for cluster in _CLUSTER.findall(value):
-        source = (at, at + len(cluster) - 1)
-        for c in fold_cluster(cluster, casefold):
-            chars.append(c)
-            ranges.append(source)
-        at += len(cluster)
-    whole = "".join(chars)
+    if value.isascii() and "\r" not in value:  # each character is a cluster of its own
+        whole = value.lower() if casefold else value
+        ranges = [(i, i) for i in range(1, len(value) + 1)]
+    else:
+        chars: list[str] = []
+        ranges, at = [], 1
+        for cluster in _CLUSTER.findall(value):
+            source = (at, at + len(cluster) - 1)
+            for c in fold_cluster(cluster, casefold):
+                chars.append(c)
+                ranges.append(source)
+            at += len(cluster)
+        whole = "".join(chars)
     if join_hyphenated_linebreaks:
         for start, stop in reversed(_joined(whole)):
             del ranges[start:stop]
@@ -140,6 +143,32 @@ def indexed(column: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("text", pa.string()), ("norm_map", pa.list_(pair)), ("tok_text", pa.string())]))
 
 
+_SEARCHABLE = T.StructType([T.StructField("text", T.StringType()), T.StructField("tok_text", T.StringType())])
+
+
+@F.arrow_udf(_SEARCHABLE)
+def searchable(column: pa.Array) -> pa.Array:
+    """Text and tokens without the map, which only pages with hits need."""
+    texts = [None if v is None else normalize_text(v) for v in column.to_pylist()]
+    return pa.array([None if t is None else {"text": t, "tok_text": token_text(t)} for t in texts], pa.struct([("text", pa.string()), ("tok_text", pa.string())]))
+
+
+def ranges_in_source(value: str, found: list[dict]) -> list[dict | None]:
+    """The source characters of each match in the normalized text; None for one that reaches beyond it."""
+    mapped = normalize_with_map(value)[1]
+    return [{"start": mapped[m["start"] - 1][0], "stop": mapped[m["stop"] - 2][1] + 1} if 1 < m["stop"] <= len(mapped) + 1 and m["start"] <= len(mapped) else None for m in found]
+
+
+_MATCHES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
+
+
+@F.arrow_udf(_MATCHES)
+def source_ranges(original: pa.Array, found: pa.Array) -> pa.Array:
+    """Column form of ``ranges_in_source``."""
+    rows = [None if v is None or f is None else ranges_in_source(v, f) for v, f in zip(original.to_pylist(), found.to_pylist(), strict=True)]
+    return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+
+
 def joined_linebreaks(column: Column) -> Column:
     """The hyphen rule alone, in the JVM."""
     return F.regexp_replace(column, r"(?<=\p{L})-[ \t]*\n[ \t]*(?=\p{L})", "")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import re
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NO_POSITIONS = "array<struct<start:int,stop:int>>"
+#: Lengths that are summed side by side.
+_CHUNK = 256
 
 
 def java_literal(needle: str) -> str:
@@ -19,10 +20,26 @@ def java_literal(needle: str) -> str:
     return "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else f"\\x{{{ord(c):X}}}" for c in needle)
 
 
-def _positions(lengths: Column, stop_after: Column | None = None) -> Column:
-    """Running sums of an array of lengths, from 1 on."""
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(lengths, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+def _positions(lengths: Column) -> Column:
+    """Running sums of an array of lengths, from 1 on.
+
+    Sums go by chunks: an array that grows by one place at a time would be copied
+    as often as it has places.
+    """
+    chunks = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int")), lambda c: F.slice(lengths, c * _CHUNK + 1, F.lit(_CHUNK))))
+
+    def sums(values: Column, first: Column, kind: str, add) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast(kind).alias("all"))
+        return F.aggregate(values, zero, add)
+
+    def chunk(at: Column, values: Column) -> Column:
+        return sums(values, at, "array<int>", lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))
+
+    def joined(s: Column, values: Column) -> Column:
+        own = lambda part: F.struct(part["at"].alias("at"), F.concat(s["all"], F.array(part["all"])).alias("all"))
+        return F.get(F.transform(F.array(chunk(s["at"], values)), own), 0)
+
+    return F.flatten(sums(F.coalesce(chunks, F.array().cast("array<array<int>>")), F.lit(1), "array<array<int>>", joined)["all"])
 
 
 def occurrences(text: Column, needle: str) -> Column:
@@ -40,23 +57,32 @@ def occurrences(text: Column, needle: str) -> Column:
     return F.when(F.contains(text, F.lit(needle)), found).otherwise(F.array().cast(_NO_POSITIONS))
 
 
+#: Patterns that Java and Python's ``regex`` read alike: plain characters, ASCII sets, groups, alternatives, counts.
+_PLAIN_PATTERN = re.compile(r"(?:[A-Za-z0-9 ]|\[[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*\]|\((?!\?)|\)|\||(?<=[A-Za-z0-9\])])(?:[*+?]|\{\d+(?:,\d*)?\}))+")
+
+
 def regex_occurrences(text: Column, pattern: str) -> Column:
-    """(start, stop) of the matches of a pattern, one behind the other."""
-    compiled = regex.compile(pattern)
-    if compiled.search("") is not None:  # a pattern that may match nothing cannot be split by
+    """(start, stop) of the matches of a pattern, one behind the other, as ``regex.finditer`` gives them.
+
+    Patterns that Java reads in the same way and that match no empty text stay
+    in the JVM; all others, with references, looks or named groups, are searched
+    for by ``regex`` itself.
+    """
+    if _PLAIN_PATTERN.fullmatch(pattern) and regex.search(pattern, "") is None:
+        matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.length(m))
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+        begin = _positions(F.transform(steps, lambda x: x["g"] + x["m"]))
+        return F.zip_with(begin, steps, lambda b, x: F.struct((b + x["g"]).alias("start"), (b + x["g"] + x["m"]).alias("stop")))
 
-        @F.arrow_udf(_NO_POSITIONS)
-        def scan(column: pa.Array) -> pa.Array:
-            own = regex.compile(pattern)
-            rows = [None if t is None else [{"start": m.start() + 1, "stop": m.end() + 1} for m in own.finditer(t)] for t in column.to_pylist()]
-            return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
+    def scan(column: pa.Array) -> pa.Array:
+        own = regex.compile(pattern)
+        rows = [None if t is None else [{"start": m.start() + 1, "stop": m.end() + 1} for m in own.finditer(t)] for t in column.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
-        return scan(text)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda m: F.length(m))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    begin = _positions(F.transform(steps, lambda x: x["g"] + x["m"]))
-    return F.zip_with(begin, steps, lambda b, x: F.struct((b + x["g"]).alias("start"), (b + x["g"] + x["m"]).alias("stop")))
+    # a filter on the result would evaluate a deterministic function twice
+    return scan.asNondeterministic()(text)
 
 
 def snippet(text: Column, start: Column, stop: Column, context: int) -> Column:
@@ -129,5 +155,3 @@ def page_size(column: Column) -> Column:
     pattern = r"([0-9.]+)\s+x\s+([0-9.]+)"
     side = lambda i, fallback: F.coalesce(F.regexp_extract(column, pattern, i).try_cast("double"), F.lit(fallback))
     return F.struct(side(1, 595.276).alias("width"), side(2, 841.89).alias("height"))
-
-

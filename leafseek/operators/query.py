@@ -10,7 +10,8 @@ import regex
 from ..errors import USAGE, LeafseekError
 from ..functions.normalize import normalize_text, token_text
 
-_QUOTED = re.compile(r'"([^"]+)"')
+#: A quoted part, or a stretch of other characters up to white space or the next quoted part.
+_PART = re.compile(r'"(?P<quoted>[^"]+)"|(?P<bare>(?:(?!"[^"]+")\S)+)')
 
 
 @dataclass(frozen=True)
@@ -35,24 +36,26 @@ class QuerySpec:
         return tuple(token_text(x if not self.case_sensitive else normalize_text(x)) for x in (*self.phrases, *self.terms))
 
 
+def compiled(pattern: str):
+    """A pattern that will be looked for; a bad one is the user's mistake, also where no page is read."""
+    try:
+        return regex.compile(pattern)
+    except regex.error as error:
+        raise LeafseekError(USAGE, "search", pattern, f"the pattern cannot be read: {error}", "correct it, or search for it as a literal") from error
+
+
 def parse_query(raw: str, literal: bool = False, case_sensitive: bool = False, regex_mode: bool = False) -> QuerySpec:
-    value = str(raw).strip()
-    if not value:
-        raise LeafseekError(USAGE, "search", "", "query is empty", "provide a word or phrase")
-    phrases, remaining = [], value
-    for m in _QUOTED.finditer(value):
-        if phrase := normalize_text(m[1], casefold=not case_sensitive):
-            phrases.append(phrase)
-        remaining = remaining.replace(m[0], " ", 1)
-    terms = [t for t in (normalize_text(x, casefold=not case_sensitive) for x in remaining.split()) if t]
-    if not (phrases or terms or regex_mode):
-        raise LeafseekError(USAGE, "search", value, "query contains no searchable text", "provide a word or phrase")
-    if regex_mode:  # before any page is read, so that a bad pattern fails on an empty corpus too
-        try:
-            regex.compile(value)
-        except regex.error as error:
-            raise LeafseekError(USAGE, "search", value, f"invalid regular expression: {error}") from error
-    return QuerySpec(value, tuple(phrases), tuple(terms), bool(literal), bool(case_sensitive), bool(regex_mode))
+    """Quoted parts become phrases, all other words terms; parts that normalize to nothing go."""
+    asked = str(raw).strip()
+    parts: dict[str, list[str]] = {"quoted": [], "bare": []}
+    for part in _PART.finditer(asked):
+        if normal := normalize_text(part[part.lastgroup], casefold=not case_sensitive):
+            parts[part.lastgroup].append(normal)
+    if regex_mode and asked:
+        compiled(asked)
+    elif not any(parts.values()):
+        raise LeafseekError(USAGE, "search", asked, "there is nothing to look for" if asked else "the query is blank", "give at least a word")
+    return QuerySpec(asked, tuple(parts["quoted"]), tuple(parts["bare"]), bool(literal), bool(case_sensitive), bool(regex_mode))
 
 
 def quoted(term: str) -> str:

@@ -14,20 +14,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import DESCRIPTION, indexed, normalize_text
+from ..functions.normalize import DESCRIPTION, indexed, normalize_text, searchable, source_ranges
 from ..functions.text import occurrences, regex_occurrences, snippet
 from .query import QuerySpec, match_expression, parse_query
 
+#: Characters of a page's text that hits and spans meet by.
+STRETCH = 256
 _NOTHING = "array<struct<start:int,stop:int>>"
 
 
-def index_pages(pages: DataFrame) -> DataFrame:
-    """Add text, norm_map and tok_text to pages with document_id, page_number and original_text.
+def index_pages(pages: DataFrame, with_map: bool = True, written: bool = True) -> DataFrame:
+    """Add text, tok_text and, with a map, norm_map to pages with document_id, page_number and original_text.
 
     The result is meant to be written: a filter on a function's result would
-    evaluate the function twice.
+    evaluate the function twice. With ``written=False`` it may be filtered as it
+    is: the function is evaluated once, but no filter passes it on its way to the
+    source. Without maps a search computes those of the pages with hits.
     """
-    return pages.withColumn("_index", indexed("original_text")).select(*[c for c in pages.columns if c not in ("text", "norm_map", "tok_text")], "_index.*")
+    function = indexed if with_map else searchable
+    function = function if written else function.asNondeterministic()
+    return pages.withColumn("_index", function("original_text")).select(*[c for c in pages.columns if c not in ("text", "norm_map", "tok_text")], "_index.*")
 
 
 def page_filter(pages: DataFrame, page: int | None = None, page_range: tuple[int, int] | None = None) -> DataFrame:
@@ -71,16 +77,28 @@ def page_occurrences(spec: QuerySpec) -> Column:
 
 def original_range(start: Column, stop: Column) -> Column:
     """The source characters of a match, from the page's map; null beyond it."""
-    inside = stop - 1 <= F.size("norm_map")
+    inside = (stop > 1) & (start <= F.size("norm_map")) & (stop - 1 <= F.size("norm_map"))
     return F.when(inside, F.struct(F.get("norm_map", start - 1)["first"].alias("start"), (F.get("norm_map", stop - 2)["last"] + 1).alias("stop")))
 
 
+def _stretches(start: Column, stop: Column) -> Column:
+    """The stretches of ``STRETCH`` characters that a range touches."""
+    return F.sequence(F.floor(start / STRETCH), F.floor(F.greatest(start, stop - 1) / STRETCH))
+
+
 def result_boxes(hits: DataFrame, spans: DataFrame) -> DataFrame:
-    """Add ``boxes``: those of the spans that overlap each hit, in order of span_id; none gives an empty array."""
+    """Add ``boxes``: those of the spans that overlap each hit, in order of span_id; none gives an empty array.
+
+    Hits and spans meet by page and stretch of its text, so a span is compared
+    with the hits near it only; a pair that shares several stretches counts in
+    the first of them.
+    """
     boxed = spans.where("bbox.x0 is not null and bbox.y0 is not null and bbox.x1 is not null and bbox.y1 is not null")
     boxed = boxed.select("document_id", F.col("page_number").alias("page"), "span_id", F.col("start").alias("_from"), F.col("stop").alias("_to"), "bbox")
-    matches = hits.select("document_id", "page", "start", "stop").distinct()
-    joined = matches.join(boxed, ["document_id", "page"]).where((F.col("_from") < F.col("stop")) & (F.col("_to") > F.col("start")))
+    boxed = boxed.withColumn("_stretch", F.explode(_stretches(F.col("_from"), F.col("_to"))))
+    matches = hits.select("document_id", "page", "start", "stop").distinct().withColumn("_stretch", F.explode(_stretches(F.col("start"), F.col("stop"))))
+    overlap = (F.col("_from") < F.col("stop")) & (F.col("_to") > F.col("start"))
+    joined = matches.join(boxed, ["document_id", "page", "_stretch"]).where(overlap & (F.col("_stretch") == F.floor(F.greatest("start", "_from") / STRETCH)))
     lists = joined.groupBy("document_id", "page", "start", "stop").agg(F.array_sort(F.collect_list(F.struct("span_id", "bbox"))).alias("_boxes"))
     out = hits.join(lists, ["document_id", "page", "start", "stop"], "left")
     return out.withColumn("boxes", F.coalesce(F.transform("_boxes", lambda b: b["bbox"]), F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))).drop("_boxes")
@@ -115,10 +133,15 @@ def search_pages(
     first = limit if candidate_limit == -1 else candidate_limit
     text = F.col("original_text" if spec.case_sensitive else "text")
     found = candidates(page_filter(pages, page, page_range), spec, first).withColumn("_found", page_occurrences(spec)).where(F.size("_found") > 0)
-    hits = found.withColumn("match_count", F.size("_found")).withColumn("_m", F.explode("_found"))
+    found = found.withColumn("match_count", F.size("_found"))
+    if spec.case_sensitive:
+        hits = found.withColumn("_m", F.explode("_found")).withColumn("_source", F.struct(F.col("_m.start").alias("start"), F.col("_m.stop").alias("stop")))
+    elif "norm_map" in pages.columns:
+        hits = found.withColumn("_m", F.explode("_found")).withColumn("_source", original_range(F.col("_m.start"), F.col("_m.stop")))
+    else:
+        both = found.withColumn("_sources", source_ranges("original_text", "_found"))
+        hits = both.withColumn("_z", F.explode(F.arrays_zip(F.col("_found").alias("m"), F.col("_sources").alias("s")))).withColumn("_m", F.col("_z.m")).withColumn("_source", F.col("_z.s"))
     start, stop = F.col("_m.start"), F.col("_m.stop")
-    source = F.struct(start.alias("start"), stop.alias("stop")) if spec.case_sensitive else original_range(start, stop)
-    hits = hits.withColumn("_source", source)
     hits = hits.select(
         "document_id",
         F.col("page_number").alias("page"),
@@ -147,15 +170,20 @@ def search_pages(
 
 
 def search_batch(pages: DataFrame, phrases: DataFrame) -> DataFrame:
-    """First place of each phrase (query_id, phrase) on each page: query_id, document_id, page_number, start.
+    """First place of each phrase (query_id, text, tok_text) on each page: query_id, document_id, page_number, start.
 
     Both sides have normalized texts and token strings. A phrase meets the pages
-    of its longest token, by a join on that token, and is then verified.
+    of its token that stands on the fewest pages, by a join of keys; the texts
+    are fetched for the pages that are left, and verified.
     """
-    # the longest token, the last of equals: an anchor that is rare for its length
-    by_length = F.transform(F.split(F.trim("tok_text"), " "), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
-    asked = phrases.where("tok_text <> ''").select("query_id", F.col("text").alias("phrase"), F.col("tok_text").alias("tokens"), F.array_max(by_length)["t"].alias("token"))
-    held = pages.select("document_id", "page_number", "text", "tok_text", F.explode(F.array_distinct(F.split(F.trim("tok_text"), " "))).alias("token"))
-    held = held.join(asked.select("token").distinct(), "token", "left_semi")
-    both = held.join(asked, "token").where(F.contains("tok_text", "tokens") & F.contains("text", "phrase"))
-    return both.select("query_id", "document_id", "page_number", F.expr("instr(text, phrase)").alias("start"))
+    tokens = lambda c: F.explode(F.array_distinct(F.split(F.trim(c), " "))).alias("token")
+    key = ["document_id", "page_number"]
+    asked = phrases.where("tok_text <> ''").select("query_id", F.col("text").alias("phrase"), F.col("tok_text").alias("tokens"))
+    wanted = asked.select("query_id", tokens("tokens"))
+    held = pages.select(*key, tokens("tok_text")).join(wanted.select("token").distinct(), "token", "left_semi")
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    # a token on no page is the rarest, and leaves its phrase without pages
+    rarest = wanted.join(counts, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    met = held.join(rarest, "token").select("query_id", *key).join(asked, "query_id")
+    both = met.join(pages.select(*key, "text", "tok_text"), key).where(F.contains("tok_text", "tokens") & F.contains("text", "phrase"))
+    return both.select("query_id", *key, F.expr("instr(text, phrase)").alias("start"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import views
@@ -12,7 +12,9 @@ from .functions import text as T
 from .functions.normalize import joined_linebreaks, normalized, token_string
 from .operators import search as S
 from .operators import spans as P
+from .plans.index import last_of_each
 from .sources import layout
+from .staging import once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,11 +68,17 @@ _FLAT = ["document_id", "page", "match_count", "start", "stop", "match_text", "s
 _SOURCES = {"conv": views.conversation_pages, "line": views.line_pages, "whole": views.whole_pages}
 
 
+def _index(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """The search index of a view, written by the first query of the application that asks for it."""
+    return once(spark, ("pages", source, sf_dir), lambda: S.index_pages(_SOURCES[source](spark, sf_dir), with_map=False))
+
+
 def _search(source: str, query: str, **options) -> Query:
     options.setdefault("limit", None)
+    where = options.pop("where", "true")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return S.search_pages(S.index_pages(_SOURCES[source](spark, sf_dir)), query, **options).select(*_FLAT)
+        return S.search_pages(_index(spark, sf_dir, source).where(where), query, **options).select(*_FLAT)
 
     return run
 
@@ -97,21 +105,31 @@ def normalize_hyphen(spark, d):
     return views.table(spark, d, "documents").select("doc_id", normalized(_hyphenated(F.col("text"))).alias("text"), F.length(joined_linebreaks(_hyphenated(F.col("text")))).alias("joined_length"))
 
 
+def _map_rows(pages: DataFrame) -> DataFrame:
+    rows = S.index_pages(pages).select("document_id", "page_number", F.posexplode("norm_map").alias("i", "r"))
+    return rows.select("document_id", "page_number", (F.col("i") + 1).alias("position"), F.col("r.first").alias("first"), F.col("r.last").alias("last"))
+
+
 def norm_map_conv(spark, d):
-    """Map rows of the turns with a sharp s, whose folded form is longer."""
-    pages = S.index_pages(views.conversation_pages(spark, d).where(F.contains("original_text", F.lit("ß"))))
-    return pages.select("document_id", "page_number", F.posexplode("norm_map").alias("i", "r")).select("document_id", "page_number", (F.col("i") + 1).alias("position"), F.col("r.first").alias("first"), F.col("r.last").alias("last"))
+    """The map of each turn: a sharp s stands for two characters of the text."""
+    return _map_rows(views.conversation_pages(spark, d))
 
 
-_NORM_MAP_SQL = f"""WITH {_pages_sql("conv")},
-    chars AS (SELECT document_id, page_number, unnest(string_split(original_text, '')) AS c, generate_subscripts(string_split(original_text, ''), 1) AS i FROM pages WHERE contains(original_text, 'ß')),
-    folded AS (SELECT *, CASE WHEN c = 'ß' THEN 2 ELSE 1 END AS n FROM chars),
-    placed AS (SELECT *, sum(n) OVER (PARTITION BY document_id, page_number ORDER BY i) - n AS before FROM folded)
-    SELECT document_id, page_number, CAST(before + k AS INTEGER) AS position, CAST(i AS INTEGER) AS first, CAST(i AS INTEGER) AS last FROM placed, unnest([1, 2]) AS u(k) WHERE k <= n"""
+def norm_map_marks(spark, d):
+    """The same with each acute e written as a letter and a mark: a cluster of two source characters."""
+    return _map_rows(views.conversation_pages(spark, d).withColumn("original_text", F.replace("original_text", F.lit("é"), F.lit("e\u0301"))))
+
+
+def _map_sql(width: str) -> str:
+    return f"""WITH {_pages_sql("conv")},
+    chars AS (SELECT document_id, page_number, unnest(string_split(original_text, '')) AS c, generate_subscripts(string_split(original_text, ''), 1) AS i FROM pages WHERE original_text <> ''),
+    folded AS (SELECT *, CASE WHEN c = 'ß' THEN 2 ELSE 1 END AS n, {width} AS w FROM chars),
+    placed AS (SELECT *, sum(n) OVER p - n AS before, sum(w) OVER p AS upto FROM folded WINDOW p AS (PARTITION BY document_id, page_number ORDER BY i))
+    SELECT document_id, page_number, CAST(before + k AS INTEGER) AS position, CAST(upto - w + 1 AS INTEGER) AS first, CAST(upto AS INTEGER) AS last FROM placed, unnest([1, 2]) AS u(k) WHERE k <= n"""
 
 
 def tokens_conv(spark, d):
-    pages = S.index_pages(views.conversation_pages(spark, d))
+    pages = _index(spark, d, "conv")
     return pages.select("document_id", "page_number", F.posexplode(F.split(F.trim("tok_text"), " ")).alias("i", "token")).where("token <> ''").select("document_id", "page_number", (F.col("i") + 1).alias("place"), "token")
 
 
@@ -123,33 +141,40 @@ def token_freq(spark, d):
 
 
 def original_offsets(spark, d):
-    return S.search_pages(S.index_pages(views.conversation_pages(spark, d)), "und", limit=None).select("document_id", "page", "start", "stop", "original_start", "original_stop", "original_text")
+    return S.search_pages(_index(spark, d, "conv"), "und", limit=None).select("document_id", "page", "start", "stop", "original_start", "original_stop", "original_text")
 
 
+# a sharp s takes two places of the text: a place lies as far before itself in the source as there are such second places up to it
 _OFFSETS_SQL = f"""WITH hits AS ({_hits_sql("conv", _has("und"), ["und"], fallback="und")}),
-    hit AS (SELECT h.document_id, h.page AS page_number, h.start, c.text AS original_text FROM hits h JOIN conversations c ON c.conv_id = h.document_id AND c.turn + 1 = h.page),
-    chars AS (SELECT document_id, page_number, unnest(string_split(original_text, '')) AS c, generate_subscripts(string_split(original_text, ''), 1) AS i FROM (SELECT DISTINCT document_id, page_number, original_text FROM hit)),
-    placed AS (SELECT *, sum(CASE WHEN c = 'ß' THEN 2 ELSE 1 END) OVER (PARTITION BY document_id, page_number ORDER BY i) AS upto FROM chars)
-    SELECT h.document_id, h.page_number AS page, CAST(start AS INTEGER) AS start, CAST(start + 3 AS INTEGER) AS stop, CAST(a.i AS INTEGER) AS original_start, CAST(b.i + 1 AS INTEGER) AS original_stop, substring(h.original_text, a.i, b.i + 1 - a.i) AS original_text
-    FROM hit h JOIN placed a ON a.document_id = h.document_id AND a.page_number = h.page_number AND start <= a.upto AND start > a.upto - CASE WHEN a.c = 'ß' THEN 2 ELSE 1 END
-    JOIN placed b ON b.document_id = h.document_id AND b.page_number = h.page_number AND start + 2 <= b.upto AND start + 2 > b.upto - CASE WHEN b.c = 'ß' THEN 2 ELSE 1 END"""
-
+    hit AS (SELECT h.document_id, h.page, h.start, c.text AS o, list_transform(string_split(c.text, 'ß'), lambda x: length(x)) AS l FROM hits h JOIN conversations c ON c.conv_id = h.document_id AND c.turn + 1 = h.page),
+    placed AS (SELECT *, start - len(list_filter(range(1, len(l)), lambda j: list_sum(l[1:j]) + 2 * j <= start)) AS a, start + 2 - len(list_filter(range(1, len(l)), lambda j: list_sum(l[1:j]) + 2 * j <= start + 2)) AS b FROM hit)
+    SELECT document_id, page, CAST(start AS INTEGER) AS start, CAST(start + 3 AS INTEGER) AS stop, CAST(a AS INTEGER) AS original_start, CAST(b + 1 AS INTEGER) AS original_stop, substring(o, a, b + 1 - a) AS original_text FROM placed"""
 
-def search_regex(spark, d):
-    return _search("conv", r"th[a-e]+n", regex=True)(spark, d)
 
-
-_REGEX_SQL = f"""WITH {_pages_sql("conv")}, m AS (SELECT *, regexp_extract_all(text, 'th[a-e]+n') AS hit, regexp_split_to_array(text, 'th[a-e]+n') AS gap FROM pages),
+def _regex_sql(pattern: str, length: str = "length(hit[k])") -> str:
+    """Hits of a pattern; ``length`` is that of a match where the pattern here reaches further."""
+    return f"""WITH {_pages_sql("conv")}, m AS (SELECT *, regexp_extract_all(text, '{pattern}') AS hit, regexp_split_to_array(text, '{pattern}') AS gap FROM pages),
     f AS (SELECT *, unnest(range(1, len(hit) + 1)) AS k FROM m WHERE len(hit) > 0),
-    s AS (SELECT *, 1 + list_sum(list_transform(gap[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hit[1:k - 1], lambda g: length(g))), 0) AS start, length(hit[k]) AS n FROM f)
-    SELECT document_id, page_number AS page, CAST(len(hit) AS INTEGER) AS match_count, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS stop, hit[k] AS match_text,
+    s AS (SELECT *, 1 + list_sum(list_transform(gap[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hit[1:k - 1], lambda g: length(g))), 0) AS start, {length} AS n FROM f)
+    SELECT document_id, page_number AS page, CAST(len(hit) AS INTEGER) AS match_count, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS stop, substring(text, CAST(start AS BIGINT), CAST(n AS BIGINT)) AS match_text,
         CASE WHEN start - 80 > 1 THEN '...' ELSE '' END || substring(text, CAST(greatest(1, start - 80) AS BIGINT), CAST(least(length(text), start + n - 1 + 80) - greatest(1, start - 80) + 1 AS BIGINT)) || CASE WHEN start + n - 1 + 80 < length(text) THEN '...' ELSE '' END AS snippet FROM s"""
 
 
+def search_explain(spark, d):
+    """The explanation that goes with each hit."""
+    hits = S.search_pages(_index(spark, d, "conv"), '"of the" and', limit=None, page=2, explain=True)
+    return hits.select("document_id", "start", F.col("explain.condition").alias("condition"), F.col("explain.normalization.casefold").alias("casefold"), F.col("explain.filters.page").alias("only_page"))
+
+
+def search_top_corpus(spark, d):
+    """The first hits of all documents together."""
+    return S.search_pages(_index(spark, d, "conv"), "the", limit=50, candidate_limit=None, scope="corpus").select("document_id", "page", "start", "match_count")
+
+
 def search_corpus_batch(spark, d):
     phrases = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), normalized("text").alias("text"))
     phrases = phrases.withColumn("tok_text", token_string("text"))
-    return S.search_batch(S.index_pages(views.whole_pages(spark, d)), phrases)
+    return S.search_batch(_index(spark, d, "whole"), phrases)
 
 
 _BATCH_SQL = f"""WITH {_pages_sql("whole")}, q AS (SELECT item_id AS query_id, {_NORM.format("text")} AS phrase FROM benchmark), t AS (SELECT *, {_TOK.format("phrase")} AS tokens FROM q)
@@ -192,7 +217,7 @@ _PAGE_TEXT_SQL = f"""WITH {_spans_cte(True)}, pieces AS (SELECT *, CASE WHEN spa
 def boxes_overlap(spark, d):
     words = views.document_words(spark, d)
     spans = P.build_spans(words)
-    hits = S.search_pages(S.index_pages(views.whole_pages(spark, d)), '"of the"', limit=None)
+    hits = S.search_pages(_index(spark, d, "whole"), '"of the"', limit=None)
     boxed = S.result_boxes(hits, spans)
     return boxed.select("document_id", "page", "start", F.size("boxes").alias("n_boxes"), F.coalesce(F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["x0"]), F.lit(0.0)).alias("sum_x0"))
 
@@ -202,36 +227,81 @@ _BOXES_SQL = f"""WITH {_pages_sql("whole")}, {_spans_cte(False)}, hit AS (SELECT
     FROM hit h LEFT JOIN spans s ON s.document_id = h.document_id AND s.start < h.start + 6 AND s.stop > h.start AND s.x0 IS NOT NULL GROUP BY h.document_id, h.start"""
 
 
+def _tool_pages(spark, d):
+    """Text as a tool prints it: lines as pages, blanks before line feeds, and a page count that is one off at times."""
+    lines = F.size(F.split("text", "\n"))
+    return views.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.replace(F.translate("text", "\n", "\f"), F.lit(". "), F.lit(". \t\n")).alias("output"), (lines + F.pmod("doc_id", F.lit(3)).cast("int") - 1).alias("page_count"))
+
+
 def page_split_pad(spark, d):
-    """Form-feed pages, with each third line feed turned to one, padded to six pages."""
-    marked = views.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.translate("text", "\n", "\f").alias("output"), F.lit(6).alias("page_count"))
-    return layout.split_pages(marked).select("document_id", "page_number", F.length("original_text").alias("length"), (normalized("original_text") != "").alias("text_native"))
+    """Form-feed pages, cut or padded to the page count."""
+    pages = layout.split_pages(_tool_pages(spark, d))
+    return pages.select("document_id", "page_number", F.length("original_text").alias("length"), (normalized("original_text") != "").alias("text_native"))
 
 
-_SPLIT_SQL = f"""WITH s AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT document_id, unnest(range(1, 7)) AS page_number, l FROM s)
-    SELECT document_id, CAST(page_number AS INTEGER) AS page_number, CAST(length(coalesce(l[page_number], '')) AS INTEGER) AS length, {_NORM.format("coalesce(l[page_number], '')")} <> '' AS text_native FROM p"""
+_SPLIT_SQL = f"""WITH s AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT document_id, unnest(range(1, CAST(len(l) + document_id % 3 AS BIGINT))) AS page_number, l FROM s),
+    t AS (SELECT document_id, page_number, regexp_replace(replace(coalesce(l[page_number], ''), '. ', '. ' || chr(9) || chr(10)), '[ \t]+\n', chr(10), 'g') AS o FROM p)
+    SELECT document_id, CAST(page_number AS INTEGER) AS page_number, CAST(length(o) AS INTEGER) AS length, {_NORM.format("o")} <> '' AS text_native FROM t"""
 
 
 def pages_text_native(spark, d):
     return layout.health(page_split_pad(spark, d), "text_native")
 
 
+def selected_pages(spark, d):
+    """A range of pages of each document."""
+    return S.page_filter(views.line_pages(spark, d), page_range=(2, 4)).groupBy("document_id").agg(F.count("*").alias("pages"), F.min("page_number").alias("first"))
+
+
 def xml_words(spark, d):
-    """Words of the layout markup of documents' first lines."""
-    first = views.line_pages(spark, d).where("page_number <= 2")
+    """Words of the layout markup of all lines of each document."""
     word = F.transform(F.filter(F.split("original_text", " "), lambda w: w != ""), lambda w, i: F.concat(F.lit('<word xMin="'), i.cast("string"), F.lit('" yMin="1.5" xMax="'), F.when(i % 3 == 0, F.lit("")).otherwise((i + 1).cast("string")), F.lit('" yMax="2">'), w, F.lit("</word>")))
     block = F.concat(F.lit("<line>"), F.array_join(word, "\n"), F.lit("</line>"))
-    pages = first.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", block.alias("b")))).alias("l"))
+    pages = views.line_pages(spark, d).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", block.alias("b")))).alias("l"))
     markup = pages.select("document_id", F.concat(F.lit('<page width="612.0" height="792.5">'), F.array_join(F.transform("l", lambda x: x["b"]), ""), F.lit("</page>")).alias("output"))
     return layout.layout_words(markup).select("document_id", "page_number", "line", "word_no", "word", F.col("bbox.x0").alias("x0"), "width", "height")
 
 
-_XML_SQL = """WITH l AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS l FROM documents), f AS (SELECT document_id, unnest(range(1, 3)) AS line, l FROM l),
-    w AS (SELECT document_id, line, list_filter(string_split(l[line], ' '), lambda x: x <> '') AS w FROM f WHERE line <= len(l)),
+_XML_SQL = """WITH l AS (SELECT doc_id AS document_id, string_split(text, chr(10)) AS l FROM documents), f AS (SELECT document_id, unnest(range(1, len(l) + 1)) AS line, l FROM l),
+    w AS (SELECT document_id, line, list_filter(string_split(l[line], ' '), lambda x: x <> '') AS w FROM f),
     e AS (SELECT document_id, line, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM w)
     SELECT document_id, 1 AS page_number, CAST(line AS INTEGER) AS line, CAST(row_number() OVER (PARTITION BY document_id ORDER BY line, i) AS INTEGER) AS word_no, word, CASE WHEN i % 3 <> 0 THEN CAST(i AS DOUBLE) END AS x0, CAST(612.0 AS DOUBLE) AS width, CAST(792.5 AS DOUBLE) AS height FROM e"""
 
 
+def metadata_scan(spark, d):
+    """Values of a metadata listing; a line without a colon is none, and a value may hold one."""
+    listing = F.concat(F.lit("Title: page "), F.col("page_id").cast("string"), F.lit("\nno value here\nSource:  "), "url", F.lit("\nPages: "), F.length("html").cast("string"))
+    found = layout.metadata(views.table(spark, d, "pages").select(F.col("page_id").alias("document_id"), listing.alias("output")))
+    return found.select("document_id", F.element_at("info", "Title").alias("title"), F.element_at("info", "Source").alias("source"), T.parse_int(F.element_at("info", "Pages")).alias("pages"), F.size("info").alias("n"))
+
+
+def page_sizes(spark, d):
+    """Sizes of a listing; each third document tells none."""
+    told = F.when(F.col("doc_id") % 3 == 0, F.lit("unknown")).otherwise(F.concat(F.col("n_chars").cast("string"), F.lit(".25  x "), F.pmod("doc_id", F.lit(1000)).cast("string"), F.lit(" pts")))
+    return views.table(spark, d, "documents").select("doc_id", T.page_size(told).alias("s")).select("doc_id", "s.width", "s.height")
+
+
+def safe_parse(spark, d):
+    """Numbers and truth values of texts that are some at times."""
+    words = F.array(F.lit(" 12 "), F.lit("x"), F.lit(""), F.lit("-3.5"), F.lit("Yes"), F.lit("TRUE "), F.lit("1"))
+    word = F.get(words, F.pmod("doc_id", F.lit(7)).cast("int"))
+    return views.table(spark, d, "documents").select("doc_id", T.parse_int(word, -1).alias("i"), T.parse_double(word, -1.0).alias("f"), T.parse_bool(word).alias("b"))
+
+
+_PARSE_SQL = """WITH w AS (SELECT doc_id, [' 12 ', 'x', '', '-3.5', 'Yes', 'TRUE ', '1'][CAST(doc_id % 7 + 1 AS BIGINT)] AS w FROM documents)
+    SELECT doc_id, CASE WHEN regexp_full_match(trim(w), '-?[0-9]+') THEN TRY_CAST(trim(w) AS INTEGER) ELSE -1 END AS i, coalesce(TRY_CAST(trim(w) AS DOUBLE), -1.0) AS f, lower(trim(w)) IN ('yes', 'true', '1') AS b FROM w"""
+
+
+def html_unescape_numeric(spark, d):
+    """References by number, decimal and hexadecimal, beside an escaped one that is decoded once."""
+    coded = F.concat(F.replace(F.replace("text", F.lit("é"), F.lit("&#233;")), F.lit("ß"), F.lit("&#xDF;")), F.lit(" &amp;#65; &#1114112;"))
+    return views.table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.html_unescape(coded).cast("binary")).alias("text_md5"))
+
+
+def total_images(spark, d):
+    return image_counts(spark, d).groupBy("document_id").agg(F.sum("image_count").alias("images"))
+
+
 def html_unescape_named(spark, d):
     return views.table(spark, d, "pages").select("page_id", F.md5(T.named_entities(F.col("html")).cast("binary")).alias("html_md5"), F.length(T.html_unescape("html")).alias("full_length"))
 
@@ -255,8 +325,7 @@ def spans_written(spark, d):
 
 
 def match_counts(spark, d):
-    pages = S.index_pages(views.conversation_pages(spark, d))
-    return S.search_pages(pages, "the", limit=None).groupBy("document_id").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("hits"))
+    return S.search_pages(_index(spark, d, "conv"), "the", limit=None).groupBy("document_id").agg(F.countDistinct("page").alias("pages"), F.count("*").alias("hits"))
 
 
 _COUNTS_SQL = f"SELECT document_id, count(DISTINCT page) AS pages, count(*) AS hits FROM ({_hits_sql('conv', _has('the'), ['the'], fallback='the')}) GROUP BY document_id"
@@ -281,8 +350,7 @@ def anti_join_fk(spark, d):
 
 def upsert_last(spark, d):
     """The last turn of each role in a conversation replaces those before it."""
-    last = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy(F.desc("turn")))
-    return views.table(spark, d, "conversations").withColumn("r", last).where("r = 1").select("conv_id", "role", "turn", F.length("text").alias("length"))
+    return last_of_each(views.table(spark, d, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn", F.length("text").alias("length"))
 
 
 def queries() -> dict[str, Query]:
@@ -290,17 +358,25 @@ def queries() -> dict[str, Query]:
         "normalize_docs": normalize_docs,
         "normalize_hyphen": normalize_hyphen,
         "norm_map_conv": norm_map_conv,
+        "norm_map_marks": norm_map_marks,
         "tokens_conv": tokens_conv,
         "token_freq": token_freq,
         "search_term": _search("conv", "der"),
         "search_and": _search("conv", "the of"),
         "search_phrase": _search("conv", '"of the"'),
         "search_phrase_term": _search("conv", '"of the" and'),
-        "search_punctuated_phrase": _search("conv", '"und der"'),
+        "search_punctuated_phrase": _search("conv", '"und, der"'),
+        "search_phrase_over_marks": _search("conv", '"und der"'),
         "search_diacritic": _search("line", "ete"),
         "search_fallback": _search("line", "entmen"),
         "search_literal": _search("whole", "+1 (", literal=True),
-        "search_regex": search_regex,
+        "search_document": _search("conv", "the", where="document_id = 3"),
+        "search_regex": _search("conv", "th[a-e]+n", regex=True),
+        "search_regex_reference": _search("conv", r"(l)\1", regex=True),
+        "search_regex_look": _search("conv", "th(?=e)", regex=True),
+        "search_regex_named": _search("conv", "(?P<first>w)ith", regex=True),
+        "search_explain": search_explain,
+        "search_top_corpus": search_top_corpus,
         "search_case_sensitive": _search("conv", "The", case_sensitive=True),
         "search_page": _search("conv", "the", page=2),
         "search_page_range": _search("conv", "the", page_range=(2, 3)),
@@ -314,6 +390,12 @@ def queries() -> dict[str, Query]:
         "boxes_overlap": boxes_overlap,
         "page_split_pad": page_split_pad,
         "pages_text_native": pages_text_native,
+        "selected_pages": selected_pages,
+        "metadata_scan": metadata_scan,
+        "page_sizes": page_sizes,
+        "safe_parse": safe_parse,
+        "html_unescape_numeric": html_unescape_numeric,
+        "total_images": total_images,
         "xml_words": xml_words,
         "html_unescape_named": html_unescape_named,
         "image_counts": image_counts,
@@ -330,18 +412,32 @@ def oracle_sql() -> dict[str, str]:
     return {
         "normalize_docs": f"SELECT doc_id, {_NORM.format('text')} AS text FROM documents",
         "normalize_hyphen": f"SELECT doc_id, {_NORM.format(_rejoined(_HYPHENS))} AS text, CAST(length({_rejoined(_HYPHENS)}) AS INTEGER) AS joined_length FROM documents",
-        "norm_map_conv": _NORM_MAP_SQL,
+        "norm_map_conv": _map_sql("1"),
+        "norm_map_marks": _map_sql("CASE WHEN c = 'é' THEN 2 ELSE 1 END"),
         "tokens_conv": _TOKENS_SQL,
         "token_freq": f"WITH t AS ({_TOKENS_SQL}) SELECT token, count(*) AS n, count(DISTINCT document_id) AS documents FROM t GROUP BY token",
         "search_term": _hits_sql("conv", _has("der"), ["der"], fallback="der"),
         "search_and": _hits_sql("conv", _has("the", "of"), ["the", "of"], fallback="the of"),
         "search_phrase": _hits_sql("conv", _has("of the"), ["of the"], fallback='"of the"'),
         "search_phrase_term": _hits_sql("conv", _has("of the", "and"), ["of the"], fallback='"of the" and'),
-        "search_punctuated_phrase": _hits_sql("conv", _has("und der"), ["und der"], fallback='"und der"'),
+        "search_punctuated_phrase": _hits_sql("conv", _has("und der"), ["und, der"], fallback='"und, der"'),
+        "search_phrase_over_marks": _hits_sql("conv", _has("und der"), ["und der"], fallback='"und der"'),
+        "search_document": _hits_sql("conv", _has("the"), ["the"], fallback="the", where="document_id = 3"),
         "search_diacritic": _hits_sql("line", _has("ete"), ["ete"], fallback="ete"),
         "search_fallback": _hits_sql("line", _has("entmen"), ["entmen"], fallback="entmen"),
         "search_literal": _hits_sql("whole", "true", ["+1 ("]),
-        "search_regex": _REGEX_SQL,
+        "search_regex": _regex_sql("th[a-e]+n"),
+        "search_regex_reference": _regex_sql("ll"),
+        "search_regex_look": _regex_sql("the", "2"),
+        "search_regex_named": _regex_sql("with"),
+        "search_explain": "SELECT document_id, start, '\"of the\" AND \"and\"' AS condition, true AS casefold, 2 AS only_page FROM (" + _hits_sql("conv", _has("of the", "and"), ["of the"], fallback='"of the" and', where="page_number = 2") + ")",
+        "search_top_corpus": "SELECT document_id, page, start, match_count FROM (" + _hits_sql("conv", _has("the"), ["the"], fallback="the") + ") ORDER BY document_id, page, start LIMIT 50",
+        "selected_pages": "WITH p AS (SELECT doc_id AS document_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS page_number FROM documents) SELECT document_id, count(*) AS pages, min(page_number) AS first FROM p WHERE page_number BETWEEN 2 AND 4 GROUP BY document_id",
+        "metadata_scan": "SELECT page_id AS document_id, 'page ' || page_id AS title, trim(url) AS source, CAST(length(html) AS INTEGER) AS pages, 3 AS n FROM pages",
+        "page_sizes": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 595.276 ELSE CAST(n_chars || '.25' AS DOUBLE) END AS width, CASE WHEN doc_id % 3 = 0 THEN 841.89 ELSE CAST(doc_id % 1000 AS DOUBLE) END AS height FROM documents",
+        "safe_parse": _PARSE_SQL,
+        "html_unescape_numeric": f"SELECT conv_id, turn, md5({_UNESCAPE.replace('html', 'text')} || ' A ' || '&#1114112;') AS text_md5 FROM conversations",
+        "total_images": f"SELECT document_id, CAST(sum(image_count) AS BIGINT) AS images FROM ({_IMAGES_SQL}) GROUP BY document_id",
         "search_case_sensitive": _hits_sql("conv", _has("the"), ["The"], fallback="The", text="original_text"),
         "search_page": _hits_sql("conv", _has("the"), ["the"], fallback="the", where="page_number = 2"),
         "search_page_range": _hits_sql("conv", _has("the"), ["the"], fallback="the", where="page_number BETWEEN 2 AND 3"),

@@ -24,7 +24,7 @@ def read_pages(spark: SparkSession, path: str, schema: str = "document_id string
 def stream_hits(pages: DataFrame, query: str, context: int = 80, **modes) -> DataFrame:
     """Occurrences on the pages that hold the query's tokens; literal and regex queries look at all pages."""
     spec = parse_query(query, modes.get("literal", False), modes.get("case_sensitive", False), modes.get("regex", False))
-    indexed = index_pages(pages)
+    indexed = index_pages(pages, with_map=False, written=False)
     chosen = indexed if spec.literal or spec.regex else indexed.where(token_condition(spec))
     found = chosen.withColumn("_found", page_occurrences(spec)).withColumn("_m", F.explode("_found"))
     text = F.col("original_text" if spec.case_sensitive else "text")

@@ -4,7 +4,7 @@ import pytest
 from leafseek import queries
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["normalize_hyphen", "norm_map_conv", "search_phrase", "search_fallback", "search_limit_two_stage", "original_offsets", "spans_hyphen", "boxes_overlap", "xml_words", "image_counts", "search_corpus_batch"]
+NAMES = sorted(queries.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

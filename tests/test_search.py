@@ -25,7 +25,7 @@ def test_occurrences(spark, text, needle, expected):
     assert [tuple(x) for x in row.o] == expected
 
 
-@pytest.mark.parametrize(("pattern", "text", "expected"), [("h.llo", "say hillo ok", [(5, 10)]), ("a+", "aa b aaa", [(1, 3), (6, 9)]), ("x*", "axb", [(1, 1), (2, 3), (3, 3), (4, 4)])])
+@pytest.mark.parametrize(("pattern", "text", "expected"), [("h.llo", "say hillo ok", [(5, 10)]), ("a+", "aa b aaa", [(1, 3), (6, 9)]), ("x*", "axb", [(1, 1), (2, 3), (3, 3), (4, 4)]), (r"(l)\1", "hello ball", [(3, 5), (9, 11)]), ("(?=the)", "the the", [(1, 1), (5, 5)]), ("(?P<x>he)", "he the", [(1, 3), (5, 7)]), ("(a|bc){2}", "abcbca bc", [(1, 4), (4, 7)]), ("[a-c]+d?", "", [])])
 def test_regex(spark, pattern, text, expected):
     row = spark.createDataFrame([(text,)], "t string").select(regex_occurrences(F.col("t"), pattern).alias("o")).first()
     assert [tuple(x) for x in row.o] == expected
@@ -36,7 +36,13 @@ def test_snippet(spark, text, start, stop, context, expected):
     assert spark.createDataFrame([(text,)], "t string").select(snippet(F.col("t"), F.lit(start), F.lit(stop), context).alias("s")).first().s == expected
 
 
+def test_many_places(spark):
+    row = spark.createDataFrame([("ab" * 700 + "a",)], "t string").select(occurrences(F.col("t"), "a").alias("o"), regex_occurrences(F.col("t"), "[b]").alias("r")).first()
+    assert [x.start for x in row.o] == list(range(1, 1402, 2)) and [x.start for x in row.r] == list(range(2, 1401, 2))
+
+
 def test_parsing():
+    assert [(parse_query(q).phrases, parse_query(q).terms) for q in ('a"b c"d', '"open', '""x"y', '"a" "b"')] == [(("b c",), ("a", "d")), ((), ('"open',)), (("x",), ('"', 'y')), (("a", "b"), ())]
     spec = parse_query('"supply chain" resilience')
     assert spec.phrases == ("supply chain",) and spec.terms == ("resilience",) and spec.needles == ("supply chain",)
     assert match_expression(spec) == '"supply chain" AND "resilience"'
@@ -66,6 +72,7 @@ def test_original_offsets_and_explain(spark):
     df = pages(spark, ("a", 1, "Straße  ﬁn-\nal Café"))
     row = search_pages(df, "final", explain=True).first()
     assert (row.start, row.stop, row.original_start, row.original_stop, row.original_text) == (9, 14, 9, 15, "ﬁn-\nal")
+    assert search_pages(index_pages(df.select("document_id", "page_number", "original_text"), with_map=False), "final").first() == search_pages(df, "final").first()
     assert row.explain.condition == '"final"' and row.explain.filters.limit == 20
 
 
