@@ -5,9 +5,12 @@ occur in a template: the positional index, a few bytes for each word kept. From
 it come the numbers of documents with each word, hence its IDF. A template's
 postings are its words of highest IDF and their places in it. A file's rare
 words look postings up; each hit proposes a template at the file's place less the
-template's place, and proposals that all rare words of a template agree on are
-kept. Their key phrase must stand in the file word by word; the score is the
-share of the template's IDF that stands in its place.
+template's place, and proposals that ``AGREEING`` of a template's ``RARE_WORDS``
+rare words agree on are kept, so that a notice with some words changed is found.
+The key phrase must stand in the file word by word; the score is the share of the
+template's IDF that stands in its place. Proposals are sorted, and each looks at
+the index entries beside it only, so the work grows with the text and not with
+its square.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rare words of a template that look it up, and the least score of a match.
-RARE_WORDS, LEAST_SCORE = 3, 0.75
+#: Rare words of a template that look it up, how many of them must agree on its place, and the least score of a match.
+RARE_WORDS, AGREEING, LEAST_SCORE = 4, 2, 0.75
 # Phrases whose places are counted, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 # Template, label, key phrase. Usual notices of licences, as words.
@@ -96,37 +99,43 @@ def scan(index: DataFrame) -> DataFrame:
 
     base = F.concat(*[labelled(p, label) for p, label in BASE.items()])
     postings: dict[int, list[tuple[int, int]]] = {}
-    rare_of: list[int] = []
     rows = []
     for t, (text, label, key) in enumerate(TEMPLATES):
         own = [VOCABULARY[w] for w in _words(text)]
         rare = sorted(range(len(own)), key=lambda j: (-idf[own[j]], j))[:RARE_WORDS]
-        rare_of.append(len(rare))
         for j in rare:
             postings.setdefault(own[j], []).append((t, j))
         key_words = [VOCABULARY[w] for w in _words(key)]
         first = next(j for j in range(len(own)) if own[j : j + len(key_words)] == key_words)
         weight = sum(idf[w] for w in own)
         entries = F.array(*[F.struct(F.lit(j * STEP + w).cast("long").alias("at"), F.lit(idf[w] / weight).alias("share"), F.lit(first <= j < first + len(key_words)).alias("key")) for j, w in enumerate(own)])
-        rows.append(F.struct(F.lit(label).alias("label"), entries.alias("entries"), F.lit(len(rare)).alias("rare")))
+        rows.append(F.struct(F.lit(label).alias("label"), entries.alias("entries")))
     templates = F.array(*rows)
     posting = F.create_map(*[x for w, hits in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(j).alias("j")) for t, j in hits]))])
-    rare = F.filter(places, lambda p: (p % STEP).cast("int").isin(sorted(postings)))
-    # proposals: the place where the template would begin, times the templates, plus the template's number
-    proposed = F.flatten(F.transform(rare, lambda p: F.transform(F.element_at(posting, (p % STEP).cast("int")), lambda x: (F.floor(p / STEP) - x["j"]) * len(TEMPLATES) + x["t"])))
-    looked_up = index.withColumn("base", base).withColumn("proposed", proposed)
-    template_of = lambda c: F.get(templates, F.pmod(c, F.lit(len(TEMPLATES))).cast("int"))
-    votes = lambda c: F.size(F.filter("proposed", lambda d: d == c))
-    agreed = F.filter(F.array_distinct("proposed"), lambda c: votes(c) >= template_of(c)["rare"])
-    start = lambda c: F.floor(c / len(TEMPLATES)).cast("long")
-    in_place = lambda c, e: F.array_contains("places", start(c) * STEP + e["at"])
-    match = lambda c: F.struct(
-        template_of(c)["label"].alias("label"),
-        F.pmod(c, F.lit(len(TEMPLATES))).cast("int").alias("template"),
-        start(c).alias("start"),
-        F.aggregate(F.filter(template_of(c)["entries"], lambda e: in_place(c, e)), F.lit(0.0), lambda a, e: a + e["share"]).alias("score"),
-        F.forall(F.filter(template_of(c)["entries"], lambda e: e["key"]), lambda e: in_place(c, e)).alias("key"),
-    )
+    # proposals: where the template would begin, which it is, and where in the index it was proposed, in that order
+    listed = F.filter(F.transform("places", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda e: (e["p"] % STEP).cast("int").isin(sorted(postings)))
+    proposed = F.flatten(F.transform(listed, lambda e: F.transform(F.element_at(posting, (e["p"] % STEP).cast("int")), lambda x: F.struct((F.floor(e["p"] / STEP) - x["j"]).alias("start"), x["t"].alias("t"), e["i"].alias("i")))))
+    looked_up = index.withColumn("base", base).withColumn("proposed", F.array_sort(proposed))
+    same = lambda i, x: F.coalesce((F.get("proposed", i)["start"] == x["start"]) & (F.get("proposed", i)["t"] == x["t"]), F.lit(False))
+    # equal proposals are neighbours: the first of a run that is long enough stands for it
+    agreed = F.filter("proposed", lambda x, i: ~same(i - 1, x) & same(i + (AGREEING - 1), x))
+    longest = max(len(_words(t)) for t, _, _ in TEMPLATES)
+
+    def match(x: Column) -> Column:
+        # the template's words stand among the index entries beside the one that proposed it, as places ascend
+        near = F.slice("places", F.greatest(x["i"] - (longest - 1), F.lit(0)) + 1, F.lit(2 * longest - 1))
+        return F.get(F.transform(F.array(F.struct(F.get(templates, x["t"]).alias("own"), near.alias("near"))), lambda c: scored(x, c["own"], c["near"])), 0)
+
+    def scored(x: Column, own: Column, near: Column) -> Column:
+        in_place = lambda e: F.array_contains(near, x["start"].cast("long") * STEP + e["at"])
+        return F.struct(
+            own["label"].alias("label"),
+            x["t"].alias("template"),
+            x["start"].cast("long").alias("start"),
+            F.aggregate(F.filter(own["entries"], in_place), F.lit(0.0), lambda a, e: a + e["share"]).alias("score"),
+            F.forall(F.filter(own["entries"], lambda e: e["key"]), in_place).alias("key"),
+        )
+
     verified = F.filter(F.transform("agreed", match), lambda m: m["key"] & (m["score"] >= LEAST_SCORE))
     return looked_up.withColumn("agreed", agreed).withColumn("matches", verified).drop("proposed", "agreed", "places")
 
