@@ -2,47 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..staging import materialize, shared_dir
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests on one machine) a folder of this process
-    is made once and used.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not _OWN_DIR:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="leafseek-", dir="/tmp/checkpoints"))
-    return _OWN_DIR[0]
-
-
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage at a point that survives lost executors. The files are
-    removed when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafseek-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["ascii_words", "documents", "map_arrow", "materialize", "shared_dir"]
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
