@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,8 @@ from .components import components
 PASSES, WINDOW, PASS_BITS, SEED = 10, 1024, 64, 7
 #: Chance that a pair at the threshold is met, if other vectors of its label lie as its mean cosine says.
 RECALL = 0.99
-#: Vectors of a block in a pass, and of a tile's side.
-BLOCK, TILE = 2048, 512
+#: Vectors of a block in a pass, of its parts that are multiplied at once, and of a tile's side on average.
+BLOCK, TILE, SIDE = 2048, 512, 1024
 
 
 def _usable(vectors: DataFrame, kind: str) -> DataFrame:
@@ -224,11 +224,11 @@ def _tile_counts(nodes: DataFrame, found: DataFrame, kind: str, threshold: float
                 counts[q] += n[p] @ hit
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(counts)], ["node", "n"])
 
-    members = nodes.join(found, "node").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1) / TILE))
-    members = materialize(members, "members")
-    blocks = members.groupBy("component").agg((F.max("block") + 1).alias("blocks"))
+    # blocks come from hashes, so no task sees a whole component
+    blocks = found.groupBy("component").agg(F.ceil(F.count("*") / SIDE).alias("blocks"))
+    members = nodes.join(found, "node").join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    tiles = members.join(blocks, "component").select("component", "block", "node", "n", "vec", F.explode(others).alias("o"))
+    tiles = members.select("component", "block", "node", "n", "vec", F.explode(others).alias("o"))
     tiles = tiles.select("component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "n", "vec")
     dealt = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     return map_arrow(dealt, compared, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
@@ -243,7 +243,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = P
     element = vectors.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
     vectors = vectors if kind == "<f4" else vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
-    rows = _usable(vectors, kind).withColumn("key", F.when(F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.sha2(F.concat(F.col("vec"), F.col("label").cast("binary")), 256)))
+    rows = _usable(vectors, kind).withColumn("key", F.when(F.col("vec").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.sha2(F.concat(F.concat_ws(":", "dim", F.octet_length("label"), "label").cast("binary"), F.col("vec")), 256)))
     rows = materialize(rows, "vectors")
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     nodes = materialize(nodes, "nodes")
