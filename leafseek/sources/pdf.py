@@ -33,14 +33,14 @@ _OUTPUTS = "document_id string, path string, size_bytes long, signature boolean,
 def ensure_pdf_path(path: str, action: str) -> str:
     path = os.path.abspath(str(path))
     if not os.path.isfile(path):
-        raise LeafseekError(INPUT, action, path, "file does not exist", "check the path")
+        raise LeafseekError(INPUT, action, path, "there is no such file", "name an existing PDF")
     try:
         with open(path, "rb") as f:
             head = f.read(5)
     except OSError as error:
-        raise LeafseekError(INPUT, action, path, "file is not readable", "check permissions") from error
+        raise LeafseekError(INPUT, action, path, "the file cannot be opened", "grant this user to read it") from error
     if head != b"%PDF-":
-        raise LeafseekError(INPUT, action, path, "file is not a PDF", "provide a PDF file")
+        raise LeafseekError(INPUT, action, path, "the file lacks the PDF signature", "name a PDF")
     return path
 
 
@@ -54,9 +54,9 @@ def run_pdf_command(executable: str, args: list[str], action: str, source: str,
     if result.success:
         return result.stdout
     if result.exit_code == -1 and not (result.timed_out or result.cancelled):
-        raise LeafseekError(INTERNAL, action, source, f"{executable} is not installed", "install the PDF tools")
+        raise LeafseekError(INTERNAL, action, source, f"{executable} is not installed", "put the PDF tools on the path")
     reason = "timed out" if result.timed_out else "was cancelled" if result.cancelled else result.stderr.strip() or f"exit code {result.exit_code}"
-    raise LeafseekError(PARSE, action, source, f"{executable}: {reason}", "use a valid PDF")
+    raise LeafseekError(PARSE, action, source, f"{executable}: {reason}", "try another copy of the file")
 
 
 def tool_outputs(path: str, strict: bool = False) -> dict:
@@ -75,7 +75,7 @@ def tool_outputs(path: str, strict: bool = False) -> dict:
     except LeafseekError:
         if strict:
             raise
-        out["warnings"].append("geometry_unavailable: falling back to page text extraction")
+        out["warnings"].append("geometry_unavailable: pages come from plain text, without boxes")
         out["text"] = run_pdf_command(TEXT, ["-layout", path, "-"], "extract", path)
     return out
 
@@ -179,6 +179,6 @@ def inspect(outputs: dict, source: str, include_pages: bool = False, include_obj
     if include_pages:
         report["pages"] = [{"page_number": i + 1, "rotation": 0, "text_present": p, "image_count": c, "annotation_count": 0, "extraction_status": "text_present" if p else "empty_or_image_only"} for i, (p, c) in enumerate(zip(present, counts, strict=True))]
     if include_objects:
-        missing = "unavailable_without_low_level_reader"
+        missing = "not_read_by_these_tools"
         report["objects"] = {"images": sum(counts), "fonts": missing, "annotations": missing, "attachments": missing}
     return report

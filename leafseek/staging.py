@@ -40,7 +40,16 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.leafseek_path = path
+    return written
+
+
+def remove(written: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned."""
+    spark = written.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.leafseek_path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def once(spark: SparkSession, key: tuple, build) -> DataFrame:

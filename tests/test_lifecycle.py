@@ -58,12 +58,13 @@ def test_lifecycle(spark, tools, tmp_path, monkeypatch):
     database = api.index_directory(spark, output)
     assert api.index_directory(spark, output) == database and api.status(spark, output)["fresh"]
     handle = api.open_index(spark, database)
+    assert handle.table("assets").count() == 0
     hit = api.search(handle, "resilience", boxes=True).collect()
     assert [(h.document, h.page, h.start, h.stop, len(h.boxes)) for h in hit] == [("a.pdf", 1, 13, 23, 1)]
     assert api.benchmark_search(handle, ["supply"])[0]["matches"] == 1
     with open(tools, "ab") as f:
         f.write(b"more")
-    assert api.status(spark, output)["reason"] == "source bytes changed"
+    assert api.status(spark, output)["reason"] == "the file is not the one that was indexed"
     with pytest.raises(LeafseekError):
         api.index_directory(spark, output)
     assert api.unpack_pdf(tools, str(tmp_path / "assets"), ["images", "Fonts"]) and "fonts_unavailable" in open(tmp_path / "assets" / "unpack-manifest.json").read()
@@ -98,9 +99,9 @@ def test_locks(tmp_path):
 def test_cache_reasons(tmp_path):
     source = tmp_path / "a.pdf"
     source.write_bytes(b"%PDF-1.4\nhello\n")
-    assert api.cache_status(str(tmp_path), str(source))["reason"] == "manifest.json is missing"
+    assert api.cache_status(str(tmp_path), str(source))["reason"] == artifacts.REASONS["unbuilt"]
     (tmp_path / "manifest.json").write_text('{"cache_key":"x","state":"extracted"}')
-    assert api.cache_status(str(tmp_path), str(source))["reason"] == "required artifacts are missing"
+    assert api.cache_status(str(tmp_path), str(source))["reason"] == artifacts.REASONS["partial"]
     key = api.artifact_cache_key(str(source))
     assert key == api.artifact_cache_key(str(source)) != api.artifact_cache_key(str(source), strict=True)
     (tmp_path / "b.pdf").write_text("just text")
@@ -135,7 +136,10 @@ def test_command_line(capsys, tmp_path):
     assert cli.main(["inspect", str(tmp_path / "none.pdf")]) == 3
     assert cli.parse_options(["a", "--pages", "--out=x", "--limit", "3", "--", "--b"]) == (["a", "--b"], {"pages": True, "out": "x", "limit": "3"})
     assert cli.page_range({"pages": "2:4"}) == (2, 4) and cli.page_range({"pages": "3"}) == (3, 3)
-    for bad in ("4:2", "x"):
+    assert cli.parse_options(["a b", "--pages", "2:3", "--limit=", "-x", "c"]) == (["a b", "-x", "c"], {"pages": "2:3", "limit": ""})
+    with pytest.raises(LeafseekError):
+        cli.parse_options(["--limit"])
+    for bad in ("4:2", "x", "1:2:3"):
         with pytest.raises(LeafseekError):
             cli.page_range({"pages": bad})
     with pytest.raises(LeafseekError):
