@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import remove
 from . import flac
 from .common import map_arrow, materialize
 
 #: Bytes of payloads or streams that a task handles side by side.
 GROUP_BYTES = 4 << 20
-#: Frames of a PCM block that the query reads.
-BLOCK_FRAMES = 64
+#: Frames of a PCM block that the query reads, and slices that it writes one after another.
+BLOCK_FRAMES, SLICES = 64, 2
+_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 PCM = "doc_id long, block int, first_sample long, n_samples int, channels int, pcm binary, error string"
 
 
@@ -113,13 +116,12 @@ def features(samples: np.ndarray) -> str:
     return str(own)
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Write each text as a FLAC column, read the column back in PCM blocks, and describe these.
+def describe(stored: DataFrame) -> DataFrame:
+    """Payload, media and features of each row of a written table (doc_id, n_bytes, media), from its PCM blocks.
 
-    The written table is the media column; a damaged stream raises an error.
+    A damaged stream raises an error.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    stored = materialize(encode_texts(docs), "media", "uncompressed")
+    schema = _DIGEST
     stored = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
     blocks = pcm_blocks(stored, BLOCK_FRAMES, ("n_bytes", "media_bytes", "media_sha256"))
 
@@ -152,3 +154,19 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(closed(), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
     return map_arrow(blocks, described, schema)
+
+
+def digest(docs: DataFrame, slices: int = SLICES) -> DataFrame:
+    """Write each text as a FLAC column, read the column back in PCM blocks, and describe these.
+
+    A stream of text is about as long as the text, so the column is written in
+    slices by hash, one after another, and each is deleted when its rows are
+    described: that bounds the disk. All rows are in one of the slices.
+    """
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices))
+    done = []
+    for i in range(slices):
+        stored = materialize(encode_texts(docs.where(slot == i)), "media", "uncompressed")
+        done.append(materialize(describe(stored), "described"))
+        remove(stored)
+    return reduce(DataFrame.union, done)
