@@ -1,12 +1,16 @@
 """Byte-level BPE: encoding by ranked merges in Spark expressions, and decoding.
 
-Documents are taken in blocks. A first Arrow pass splits the texts of a block
-and lists the distinct words that the blocks before it in its task did not have;
-Spark higher-order functions then fold the ranked merges over the bytes of each
-word; a second Arrow pass, in the same task, keeps the words' ids and puts them
-in the documents' order. A block is one row all along, so nothing is shuffled. A
-task begins anew after a bounded number of distinct words, so no dictionary grows
-with the corpus.
+Spark higher-order functions fold the ranked merges over the bytes of distinct
+words. Words that most lists of distinct words share are folded once for the
+whole corpus and sent to all tasks; a bound on their bytes is the only bound, and
+all other words are folded where they occur, so results do not depend on it.
+
+Documents are taken in blocks. A first Arrow pass splits the texts of a block and
+lists the distinct words that neither the shared words nor the blocks before it
+in its task have; the fold gives their ids; a second Arrow pass, in the same
+task, keeps them and puts them in the documents' order. A block is one row all
+along, so texts are not shuffled. A task begins anew after a bounded number of
+distinct words, so no dictionary grows with the corpus.
 
 The rank map is a literal: rows of pairs of ids in one array, displaced so that
 they do not meet; a lookup is a sum and three array reads.
@@ -27,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, materialize
 
 #: A block closes with the document that takes it to so many characters.
 BLOCK_CHARS = 4 << 20
@@ -35,6 +39,10 @@ BLOCK_CHARS = 4 << 20
 GENERATION = 400_000
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
+#: Shared words have so many bytes in all at most.
+SHARED_BYTES = 5 << 20
+#: Steps of a doubling of the number of lists that hold a word, and parts of a step.
+_STEPS, _PARTS = 8, 64
 #: White space other than single blanks and line feeds needs the whole pattern.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 #: Words that the pattern leaves whole behind a blank, with one mark at most that it parts from them.
@@ -232,6 +240,69 @@ def _byte_lists(words: list[str], byte_ids: np.ndarray) -> tuple[pa.ListArray, l
     return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(flat)), long
 
 
+def _lists(texts: DataFrame, pattern: str) -> DataFrame:
+    """Each distinct word of a task, but for those too long to fold; a task begins anew after GENERATION chunks."""
+
+    def listed(batches):
+        compiled = regex.compile(pattern)
+        chunks, found = set(), set()
+
+        def closed():
+            splitter = _Splitter(compiled)
+            splitter.words = dict(zip(found, range(len(found))))
+            for chunk in chunks:
+                splitter.__missing__(chunk)
+            words = [w for w in splitter.words if len(w) <= FOLD_BYTES and len(w.encode()) <= FOLD_BYTES]
+            for i in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.string())], ["word"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                if _UNEVEN.search(text):
+                    found.update(compiled.findall(text))
+                else:
+                    first, *rest = text.replace("\n", " \n").split(" ")
+                    found.update(compiled.findall(first))
+                    chunks.update(rest)
+                if len(chunks) + len(found) >= GENERATION * 2:
+                    yield from closed()
+                    chunks, found = set(), set()
+        yield from closed()
+
+    return map_arrow(texts, listed, "word string")
+
+
+def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words on the most lists of the corpus, SHARED_BYTES of them at most; their ids in a row, and where each word's begin.
+
+    Words on one list only are not among them, since sharing would save nothing.
+    """
+    texts = docs.select(F.col("text").cast("string")).where("text is not null")
+    counts = _lists(texts, pattern).groupBy("word").agg(F.count("*").alias("lists")).where("lists > 1")
+    place = F.floor(F.log2("lists") * _STEPS) * _PARTS + F.pmod(F.xxhash64("word"), F.lit(_PARTS))
+    counts = materialize(counts.select("word", place.cast("int").alias("place")), "bpe-words")
+    sizes = counts.groupBy("place").agg(F.sum(F.octet_length("word")).alias("bytes")).collect()  # 64 places a step, 8 steps a doubling
+    least, room = None, SHARED_BYTES
+    for r in sorted(sizes, key=lambda r: -r.place):
+        room -= r.bytes
+        if room < 0:
+            break
+        least = r.place
+    if least is None:
+        return [], np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def lists(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _byte_lists(batch.column(0).to_pylist(), pairs.bytes)[0]], ["word", "own"])
+
+    chosen = counts.where(F.col("place") >= least).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4)
+    coded = pairs.attach(map_arrow(chosen, lists, "word string, own array<int>")).select("word", encode_word(F.col("own"), pairs).alias("ids")).toArrow().combine_chunks()
+    ids = coded.column("ids").combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    return coded.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint16), np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()).astype(np.int64))])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """Ids of each text, or what ``rows`` makes of (doc_ids, arrays of ids, ranks).
 
@@ -242,18 +313,27 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
     pairs = PairMap(ranks)
     byte_ids = pairs.bytes
     shipped = spark.sparkContext.broadcast(ranks)
+    own_words, *own_ids = shared_words(docs, pairs, pattern)
+    shared, shared_ids, n_shared = spark.sparkContext.broadcast(own_words), spark.sparkContext.broadcast(own_ids), len(own_words)
     if rows is None:
         rows = lambda docs, ids, ranks: [pa.array(docs, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
 
     def words(batches):
         compiled = regex.compile(pattern)
-        splitter, known, ids, counts, places, size = _Splitter(compiled), 0, [], [], [], 0
+        ids, counts, places, size = [], [], [], 0
+
+        def begun():
+            splitter = _Splitter(compiled)
+            splitter.words = dict(zip(shared.value, range(n_shared)))
+            return splitter, n_shared
+
+        splitter, known = begun()
 
         def closed():
             nested, long = _byte_lists(list(islice(splitter.words, known, None)), byte_ids)
             kinds = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary())]))
             own = pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested)
-            return pa.RecordBatch.from_arrays([pa.array([known == 0]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), own, pa.array([long], kinds)], ["fresh", "doc_ids", "n_words", "places", "words", "long"])
+            return pa.RecordBatch.from_arrays([pa.array([known == n_shared]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), own, pa.array([long], kinds)], ["fresh", "doc_ids", "n_words", "places", "words", "long"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -261,8 +341,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
                 if ids and size >= BLOCK_CHARS:
                     yield closed()
                     known, ids, counts, places, size = len(splitter.words), [], [], [], 0
-                    if known >= GENERATION:
-                        splitter, known = _Splitter(compiled), 0
+                    if known >= GENERATION + n_shared:
+                        splitter, known = begun()
                 own = splitter.split(text) if text else b""
                 ids.append(doc)
                 counts.append(len(own) // 4)
@@ -286,9 +366,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
                     parts = [x if j not in extra else np.array(extra[j], np.uint16) for j, x in enumerate(parts)]
                     new, lens = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
                 if fresh:
-                    flat, begins = new, np.concatenate([[0], np.cumsum(lens)])
-                else:
-                    flat, begins = np.concatenate([flat, new]), np.concatenate([begins, begins[-1] + np.cumsum(lens)])
+                    flat, begins = shared_ids.value
+                flat, begins = np.concatenate([flat, new]), np.concatenate([begins, begins[-1] + np.cumsum(lens)])
                 ids, at = [], 0
                 for n in counts:
                     own = places[at : at + n]
