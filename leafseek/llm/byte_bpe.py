@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by ranked merges in Spark expressions, and decoding.
 
 Spark higher-order functions fold the ranked merges over the bytes of distinct
-words. Words that most lists of distinct words share are folded once for the
+words. Words that most tasks meet are folded once for the
 whole corpus and sent to all tasks; a bound on their bytes is the only bound, and
 all other words are folded where they occur, so results do not depend on it.
 
@@ -39,8 +39,8 @@ BLOCK_CHARS = 4 << 20
 GENERATION = 400_000
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
-#: Shared words have so many bytes in all at most.
-SHARED_BYTES = 5 << 20
+#: The chunks that give the shared words have so many bytes in all at most.
+SHARED_BYTES = 6 << 20
 #: Steps of a doubling of the number of lists that hold a word, and parts of a step.
 _STEPS, _PARTS = 8, 64
 #: White space other than single blanks and line feeds needs the whole pattern.
@@ -93,7 +93,6 @@ class PairMap:
                 if b < self.END:
                     first[a, b] = (r << self.RANK_AT) + a
         self.first = first.ravel().tolist()
-        self.ranks = [r << self.RANK_AT for r in range(self.NONE)]
         self._displace(rows)
 
     def _displace(self, rows: dict[int, dict[int, int]]) -> None:
@@ -112,17 +111,26 @@ class PairMap:
             self.rows[left] = at
             free[at + rights] = False
             table[at + rights] = left << self.WIDTH | np.fromiter(row.values(), np.int64, len(row))
-        self.table = table.astype(np.uint32).view(np.int32).tolist()
+        # as pairs of the number of free places before an entry, and the entry
+        taken = np.flatnonzero(table >= 0)
+        self.table = np.stack([np.diff(taken, prepend=-1) - 1, table[taken].astype(np.uint32).view(np.int32)], 1).tolist()
 
     def attach(self, df: DataFrame) -> DataFrame:
         """``df`` with the literals as columns, which ``start`` and ``rank`` read.
 
         The literals are parsed once, in scalar subqueries. Inside the fold's
-        expressions each would be printed and compared dozens of times.
+        expressions each would be printed and compared dozens of times. Plans and
+        their events hold the literals as text, so free places are not written out.
         """
-        literal = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-        parts = {"table": (self.table, "int"), "rows": (self.rows, "int"), "first": (self.first, "bigint"), "ranks": (self.ranks, "bigint")}
-        one = df.sparkSession.range(1).select(*[literal(*c).alias(k) for k, c in parts.items()])
+        literal = lambda values, kind: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
+        zero = F.col("id").cast("int")  # not a literal, so that the optimizer leaves the long arrays to the run
+        parts = {
+            "table": F.flatten(F.transform(literal(self.table, "array<int>"), lambda x: F.concat(F.array_repeat(zero - 1, F.get(x, 0)), F.slice(x, 2, 1)))),
+            "rows": literal(self.rows, "int"),
+            "first": literal(self.first, "bigint"),
+            "ranks": F.transform(F.sequence(zero, zero + self.NONE - 1), lambda r: F.shiftleft(r.cast("bigint"), self.RANK_AT)),
+        }
+        one = df.sparkSession.range(1).select(*[c.alias(k) for k, c in parts.items()])
         return df.select("*", *[one.select(k).scalar().alias(f"pairs_{k}") for k in parts])
 
     def start(self, left: Column, right: Column, offset: Column) -> Column:
@@ -240,49 +248,40 @@ def _byte_lists(words: list[str], byte_ids: np.ndarray) -> tuple[pa.ListArray, l
     return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(flat)), long
 
 
-def _lists(texts: DataFrame, pattern: str) -> DataFrame:
-    """Each distinct word of a task, but for those too long to fold; a task begins anew after GENERATION chunks."""
+def _lists(texts: DataFrame) -> DataFrame:
+    """Each distinct chunk between blanks of the texts of a task, but for those too long to fold; a task begins anew after GENERATION."""
 
     def listed(batches):
-        compiled = regex.compile(pattern)
-        chunks, found = set(), set()
+        chunks = set()
 
         def closed():
-            splitter = _Splitter(compiled)
-            splitter.words = dict(zip(found, range(len(found))))
-            for chunk in chunks:
-                splitter.__missing__(chunk)
-            words = [w for w in splitter.words if len(w) <= FOLD_BYTES and len(w.encode()) <= FOLD_BYTES]
-            for i in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.string())], ["word"])
+            own = [x for x in chunks if 0 < len(x) < FOLD_BYTES]
+            for i in range(0, len(own), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 50_000], pa.string())], ["chunk"])
 
         for batch in batches:
             for text in batch.column(0):
-                text = text.as_py() or ""
-                if _UNEVEN.search(text):
-                    found.update(compiled.findall(text))
-                else:
-                    first, *rest = text.replace("\n", " \n").split(" ")
-                    found.update(compiled.findall(first))
-                    chunks.update(rest)
-                if len(chunks) + len(found) >= GENERATION * 2:
+                chunks.update(text.as_py().replace("\n", " \n").split(" "))
+                if len(chunks) >= GENERATION:
                     yield from closed()
-                    chunks, found = set(), set()
+                    chunks = set()
         yield from closed()
 
-    return map_arrow(texts, listed, "word string")
+    return map_arrow(texts, listed, "chunk string")
 
 
 def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words on the most lists of the corpus, SHARED_BYTES of them at most; their ids in a row, and where each word's begin.
+    """The words of the chunks on the most lists, SHARED_BYTES at most; their ids in a row, and where each word's begin.
 
-    Words on one list only are not among them, since sharing would save nothing.
+    All texts are counted. Chunks on one list only are not among them, since
+    sharing would save nothing. What is chosen changes the time alone: a word
+    that is missing is folded where it occurs.
     """
     texts = docs.select(F.col("text").cast("string")).where("text is not null")
-    counts = _lists(texts, pattern).groupBy("word").agg(F.count("*").alias("lists")).where("lists > 1")
-    place = F.floor(F.log2("lists") * _STEPS) * _PARTS + F.pmod(F.xxhash64("word"), F.lit(_PARTS))
-    counts = materialize(counts.select("word", place.cast("int").alias("place")), "bpe-words")
-    sizes = counts.groupBy("place").agg(F.sum(F.octet_length("word")).alias("bytes")).collect()  # 64 places a step, 8 steps a doubling
+    counts = _lists(texts).groupBy("chunk").agg(F.count("*").alias("lists")).where("lists > 1")
+    place = F.floor(F.log2("lists") * _STEPS) * _PARTS + F.pmod(F.xxhash64("chunk"), F.lit(_PARTS))
+    counts = materialize(counts.select("chunk", place.cast("int").alias("place")), "bpe-chunks")
+    sizes = counts.groupBy("place").agg(F.sum(F.octet_length("chunk")).alias("bytes")).collect()  # 64 places a step, 8 steps a doubling
     least, room = None, SHARED_BYTES
     for r in sorted(sizes, key=lambda r: -r.place):
         room -= r.bytes
@@ -292,15 +291,32 @@ def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[list[st
     if least is None:
         return [], np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def lists(batches):
+    def words_of(batches):
+        splitter = _Splitter(regex.compile(pattern))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _byte_lists(batch.column(0).to_pylist(), pairs.bytes)[0]], ["word", "own"])
+            for chunk in batch.column(0).to_pylist():
+                splitter.__missing__(chunk)
+        own = [w for w in splitter.words if len(w.encode()) <= FOLD_BYTES]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["word"])
 
-    chosen = counts.where(F.col("place") >= least).select("word").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4)
-    coded = pairs.attach(map_arrow(chosen, lists, "word string, own array<int>")).select("word", encode_word(F.col("own"), pairs).alias("ids")).toArrow().combine_chunks()
-    ids = coded.column("ids").combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    return coded.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint16), np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()).astype(np.int64))])
+    def lists(batches):
+        for batch in batches:
+            own = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            words = _byte_lists(batch.column(0).to_pylist(), pairs.bytes)[0]
+            yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], ["own", "words"])
+
+    # written before the fold, which then has no exchange: each new plan of an adaptive one would hold the literals again
+    chosen = map_arrow(counts.where(F.col("place") >= least).select("chunk"), words_of, "word string").distinct()
+    chosen = materialize(chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism), "bpe-shared")
+    blocks = pairs.attach(map_arrow(chosen, lists, "own array<string>, words array<array<int>>"))
+    coded = blocks.select("own", F.transform("words", lambda w: encode_word(w, pairs)).alias("ids")).toArrow()
+    words, flat, lens = [], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    for batch in coded.to_batches():
+        ids = batch.column("ids").flatten()
+        words += batch.column("own").flatten().to_pylist()
+        flat.append(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint16))
+        lens.append(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+    return words, np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(lens))])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
