@@ -36,7 +36,7 @@ from .common import map_arrow, materialize
 #: A block closes with the document that takes it to so many characters.
 BLOCK_CHARS = 4 << 20
 #: Distinct words from which on a task begins a new list of them.
-GENERATION = 400_000
+GENERATION = 250_000
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
 #: The chunks that give the shared words have so many bytes in all at most.
@@ -44,7 +44,7 @@ SHARED_BYTES = 6 << 20
 #: Steps of a doubling of the number of lists that hold a word, and parts of a step.
 _STEPS, _PARTS = 8, 64
 #: White space other than single blanks and line feeds needs the whole pattern.
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
+_PAIRS, _OTHERS = [a + b for a in " \n" for b in " \n"], [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: Words that the pattern leaves whole behind a blank, with one mark at most that it parts from them.
 _PLAIN, _MARKS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+[.,;:!?]?"), frozenset(".,;:!?")
 _BLOCK = "fresh boolean, doc_ids array<long>, n_words array<int>, places binary, words array<array<int>>, long array<struct<at: int, word: binary>>"
@@ -205,6 +205,10 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
+def _uneven(text: str) -> bool:
+    return text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _PAIRS) or any(x in text for x in _OTHERS)
+
+
 class _Splitter(dict):
     """Places of the words of a chunk among the distinct words so far, as bytes of 32-bit integers."""
 
@@ -219,7 +223,11 @@ class _Splitter(dict):
     def __missing__(self, chunk: str) -> bytes:
         # a chunk stands behind a blank, or behind a line feed that it begins with
         if _PLAIN.fullmatch(chunk):
-            out = self.places([" " + chunk] if chunk[-1] not in _MARKS else [" " + chunk[:-1], chunk[-1]])
+            own = self.words
+            if chunk[-1] not in _MARKS:
+                out = own.setdefault(" " + chunk, len(own)).to_bytes(4, "little")
+            else:
+                out = own.setdefault(" " + chunk[:-1], len(own)).to_bytes(4, "little") + own.setdefault(chunk[-1], len(own)).to_bytes(4, "little")
         else:
             out = self.places(self.find(chunk if chunk[:1] == "\n" else " " + chunk))
         if len(chunk) <= 64:
@@ -227,7 +235,7 @@ class _Splitter(dict):
         return out
 
     def split(self, text: str) -> bytes:
-        if _UNEVEN.search(text):
+        if _uneven(text):
             return self.places(self.find(text))
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.places(self.find(first)) + b"".join(map(self.__getitem__, rest))
@@ -249,7 +257,7 @@ def _byte_lists(words: list[str], byte_ids: np.ndarray) -> tuple[pa.ListArray, l
 
 
 def _lists(texts: DataFrame) -> DataFrame:
-    """Each distinct chunk between blanks of the texts of a task, but for those too long to fold; a task begins anew after GENERATION."""
+    """Each distinct chunk between blanks of the texts of a task, but for those too long to fold; a task begins anew after twice GENERATION."""
 
     def listed(batches):
         chunks = set()
@@ -262,7 +270,7 @@ def _lists(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 chunks.update(text.as_py().replace("\n", " \n").split(" "))
-                if len(chunks) >= GENERATION:
+                if len(chunks) >= 2 * GENERATION:
                     yield from closed()
                     chunks = set()
         yield from closed()
@@ -278,7 +286,8 @@ def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[list[st
     that is missing is folded where it occurs.
     """
     texts = docs.select(F.col("text").cast("string")).where("text is not null")
-    counts = _lists(texts).groupBy("chunk").agg(F.count("*").alias("lists")).where("lists > 1")
+    # a task's list is distinct, so nothing is combined before the shuffle
+    counts = _lists(texts).repartition(F.col("chunk")).groupBy("chunk").agg(F.count("*").alias("lists")).where("lists > 1")
     place = F.floor(F.log2("lists") * _STEPS) * _PARTS + F.pmod(F.xxhash64("chunk"), F.lit(_PARTS))
     counts = materialize(counts.select("chunk", place.cast("int").alias("place")), "bpe-chunks")
     sizes = counts.groupBy("place").agg(F.sum(F.octet_length("chunk")).alias("bytes")).collect()  # 64 places a step, 8 steps a doubling
