@@ -40,7 +40,7 @@ GENERATION = 250_000
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
 #: The chunks that give the shared words have so many bytes in all at most.
-SHARED_BYTES = 6 << 20
+SHARED_BYTES = 4 << 20
 #: Steps of a doubling of the number of lists that hold a word, and parts of a step.
 _STEPS, _PARTS = 8, 64
 #: White space other than single blanks and line feeds needs the whole pattern.
@@ -86,13 +86,10 @@ class PairMap:
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         if self.bytes.max() > 255:
             raise ValueError("single bytes have the first 256 ranks")
-        ends = self.END + 1
-        first = np.full((ends, ends), self.NEVER, np.int64) + np.append(np.arange(self.END), self.NONE)[:, None]
-        for a in range(self.END):
-            for b, r in rows.get(a, {}).items():
-                if b < self.END:
-                    first[a, b] = (r << self.RANK_AT) + a
-        self.first = first.ravel().tolist()
+        merges = sorted((a * (self.END + 1) + b, r) for a in range(self.END) for b, r in rows.get(a, {}).items() if b < self.END)
+        # the last entry stands for the last byte before an end mark, which no rank has
+        places, values = np.array([*merges, (self.END * (self.END + 1) - 1, -1)]).T
+        self.first, self.one = self._gaps(places, values), None
         self._displace(rows)
 
     def _displace(self, rows: dict[int, dict[int, int]]) -> None:
@@ -111,9 +108,13 @@ class PairMap:
             self.rows[left] = at
             free[at + rights] = False
             table[at + rights] = left << self.WIDTH | np.fromiter(row.values(), np.int64, len(row))
-        # as pairs of the number of free places before an entry, and the entry
         taken = np.flatnonzero(table >= 0)
-        self.table = np.stack([np.diff(taken, prepend=-1) - 1, table[taken].astype(np.uint32).view(np.int32)], 1).tolist()
+        self.table = self._gaps(taken, table[taken].astype(np.uint32).view(np.int32))
+
+    @staticmethod
+    def _gaps(places: np.ndarray, values: np.ndarray) -> list[list[int]]:
+        """Entries of an array as the number of free places before each, and its value."""
+        return np.stack([np.diff(places, prepend=-1) - 1, values], 1).tolist()
 
     def attach(self, df: DataFrame) -> DataFrame:
         """``df`` with the literals as columns, which ``start`` and ``rank`` read.
@@ -124,14 +125,16 @@ class PairMap:
         """
         literal = lambda values, kind: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
         zero = F.col("id").cast("int")  # not a literal, so that the optimizer leaves the long arrays to the run
+        filled = lambda gaps: F.flatten(F.transform(literal(gaps, "array<int>"), lambda x: F.concat(F.array_repeat(zero - 1, F.get(x, 0)), F.slice(x, 2, 1))))
         parts = {
-            "table": F.flatten(F.transform(literal(self.table, "array<int>"), lambda x: F.concat(F.array_repeat(zero - 1, F.get(x, 0)), F.slice(x, 2, 1)))),
+            "table": filled(self.table),
             "rows": literal(self.rows, "int"),
-            "first": literal(self.first, "bigint"),
+            "first": F.transform(filled(self.first), lambda x, i: F.when(x >= 0, F.shiftleft(x.cast("bigint"), self.RANK_AT)).otherwise(F.lit(self.NEVER)) + F.floor(i / (self.END + 1))),
             "ranks": F.transform(F.sequence(zero, zero + self.NONE - 1), lambda r: F.shiftleft(r.cast("bigint"), self.RANK_AT)),
         }
-        one = df.sparkSession.range(1).select(*[c.alias(k) for k, c in parts.items()])
-        return df.select("*", *[one.select(k).scalar().alias(f"pairs_{k}") for k in parts])
+        if self.one is None:
+            self.one = df.sparkSession.range(1).select(*[c.alias(k) for k, c in parts.items()])
+        return df.select("*", *[self.one.select(k).scalar().alias(f"pairs_{k}") for k in parts])
 
     def start(self, left: Column, right: Column, offset: Column) -> Column:
         """The number of two bytes of a word; the last has none on its right."""
@@ -278,7 +281,7 @@ def _lists(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, listed, "chunk string")
 
 
-def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The words of the chunks on the most lists, SHARED_BYTES at most; their ids in a row, and where each word's begin.
 
     All texts are counted. Chunks on one list only are not among them, since
@@ -298,7 +301,7 @@ def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[list[st
             break
         least = r.place
     if least is None:
-        return [], np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def words_of(batches):
         splitter = _Splitter(regex.compile(pattern))
@@ -308,10 +311,12 @@ def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[list[st
         own = [w for w in splitter.words if len(w.encode()) <= FOLD_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["word"])
 
+    byte_ids = pairs.bytes
+
     def lists(batches):
         for batch in batches:
             own = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
-            words = _byte_lists(batch.column(0).to_pylist(), pairs.bytes)[0]
+            words = _byte_lists(batch.column(0).to_pylist(), byte_ids)[0]
             yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], ["own", "words"])
 
     # written before the fold, which then has no exchange: each new plan of an adaptive one would hold the literals again
@@ -319,13 +324,13 @@ def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[list[st
     chosen = materialize(chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism), "bpe-shared")
     blocks = pairs.attach(map_arrow(chosen, lists, "own array<string>, words array<array<int>>"))
     coded = blocks.select("own", F.transform("words", lambda w: encode_word(w, pairs)).alias("ids")).toArrow()
-    words, flat, lens = [], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    words, flat, lens = [pa.array([], pa.string())], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
     for batch in coded.to_batches():
         ids = batch.column("ids").flatten()
-        words += batch.column("own").flatten().to_pylist()
+        words.append(batch.column("own").flatten())
         flat.append(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint16))
         lens.append(np.diff(ids.offsets.to_numpy()).astype(np.int64))
-    return words, np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(lens))])
+    return pa.concat_arrays(words), np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(lens))])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
@@ -349,7 +354,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
 
         def begun():
             splitter = _Splitter(compiled)
-            splitter.words = dict(zip(shared.value, range(n_shared)))
+            splitter.words = dict(zip(shared.value.to_pylist(), range(n_shared)))
             return splitter, n_shared
 
         splitter, known = begun()
