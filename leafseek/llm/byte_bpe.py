@@ -34,9 +34,13 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize
 
 #: A block closes with the document that takes it to so many characters.
-BLOCK_CHARS = 4 << 20
-#: Distinct words from which on a task begins a new list of them.
-GENERATION = 250_000
+BLOCK_CHARS = 1 << 20
+#: Distinct words beside the shared ones from which on a task begins a new list of them.
+GENERATION = 125_000
+#: Distinct chunks from which on a task begins a new list of them for the choice of shared words.
+LISTED = 500_000
+#: Chunks of shared words alone that a task keeps.
+KEPT = 300_000
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
 #: The chunks that give the shared words have so many bytes in all at most.
@@ -213,35 +217,51 @@ def _uneven(text: str) -> bool:
 
 
 class _Splitter(dict):
-    """Places of the words of a chunk among the distinct words so far, as bytes of 32-bit integers."""
+    """Places of the words of a chunk, as bytes of 32-bit integers, in ``first`` and behind it in ``words``, the distinct others so far.
 
-    def __init__(self, pattern):
+    Chunks of first words alone stay beyond a ``forget``, KEPT of them at most.
+    """
+
+    def __init__(self, pattern, first=()):
         super().__init__()
-        self.find, self.words = pattern.findall, {}
+        self.find, self.words, self.recent = pattern.findall, {}, {}
+        self.first = {w: i.to_bytes(4, "little") for i, w in enumerate(first)}
 
-    def places(self, found: list[str]) -> bytes:
-        own = self.words
-        return b"".join([own.setdefault(w, len(own)).to_bytes(4, "little") for w in found])
+    def forget(self) -> None:
+        """Begin anew behind the first words, in place, so that no two lists are held at a time."""
+        self.words, self.recent = {}, {}
+
+    def place(self, word: str) -> bytes:
+        at = self.first.get(word) or self.words.get(word)
+        if at is None:
+            at = self.words[word] = (len(self.first) + len(self.words)).to_bytes(4, "little")
+        return at
 
     def __missing__(self, chunk: str) -> bytes:
+        if (out := self.recent.get(chunk)) is not None:
+            return out
         # a chunk stands behind a blank, or behind a line feed that it begins with
-        if _PLAIN.fullmatch(chunk):
-            own = self.words
-            if chunk[-1] not in _MARKS:
-                out = own.setdefault(" " + chunk, len(own)).to_bytes(4, "little")
-            else:
-                out = own.setdefault(" " + chunk[:-1], len(own)).to_bytes(4, "little") + own.setdefault(chunk[-1], len(own)).to_bytes(4, "little")
+        if not _PLAIN.fullmatch(chunk):
+            found = self.find(chunk if chunk[:1] == "\n" else " " + chunk)
+        elif chunk[-1] in _MARKS:
+            found = [" " + chunk[:-1], chunk[-1]]
         else:
-            out = self.places(self.find(chunk if chunk[:1] == "\n" else " " + chunk))
+            found = [" " + chunk]
+        out = b"".join(map(self.place, found))
         if len(chunk) <= 64:
-            self[chunk] = out
+            if not all(map(self.first.__contains__, found)):
+                self.recent[chunk] = out
+            else:
+                if len(self) >= KEPT:
+                    self.clear()
+                self[chunk] = out
         return out
 
     def split(self, text: str) -> bytes:
         if _uneven(text):
-            return self.places(self.find(text))
+            return b"".join(map(self.place, self.find(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self.places(self.find(first)) + b"".join(map(self.__getitem__, rest))
+        return b"".join(map(self.place, self.find(first))) + b"".join(map(self.__getitem__, rest))
 
 
 def _byte_lists(words: list[str], byte_ids: np.ndarray) -> tuple[pa.ListArray, list[dict]]:
@@ -260,7 +280,7 @@ def _byte_lists(words: list[str], byte_ids: np.ndarray) -> tuple[pa.ListArray, l
 
 
 def _lists(texts: DataFrame) -> DataFrame:
-    """Each distinct chunk between blanks of the texts of a task, but for those too long to fold; a task begins anew after twice GENERATION."""
+    """Each distinct chunk between blanks of the texts of a task, but for those too long to fold; a task begins anew after LISTED."""
 
     def listed(batches):
         chunks = set()
@@ -273,7 +293,7 @@ def _lists(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 chunks.update(text.as_py().replace("\n", " \n").split(" "))
-                if len(chunks) >= 2 * GENERATION:
+                if len(chunks) >= LISTED:
                     yield from closed()
                     chunks = set()
         yield from closed()
@@ -344,7 +364,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
     byte_ids = pairs.bytes
     shipped = spark.sparkContext.broadcast(ranks)
     own_words, *own_ids = shared_words(docs, pairs, pattern)
-    shared, shared_ids, n_shared = spark.sparkContext.broadcast(own_words), spark.sparkContext.broadcast(own_ids), len(own_words)
+    shared, shared_ids = spark.sparkContext.broadcast(own_words), spark.sparkContext.broadcast(own_ids)
     if rows is None:
         rows = lambda docs, ids, ranks: [pa.array(docs, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
 
@@ -352,18 +372,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
         compiled = regex.compile(pattern)
         ids, counts, places, size = [], [], [], 0
 
-        def begun():
-            splitter = _Splitter(compiled)
-            splitter.words = dict(zip(shared.value.to_pylist(), range(n_shared)))
-            return splitter, n_shared
-
-        splitter, known = begun()
+        splitter, known = _Splitter(compiled, shared.value.to_pylist()), 0
 
         def closed():
-            nested, long = _byte_lists(list(islice(splitter.words, known, None)), byte_ids)
+            new = list(islice(reversed(splitter.words), len(splitter.words) - known))[::-1]
+            nested, long = _byte_lists(new, byte_ids)
             kinds = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary())]))
             own = pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested)
-            return pa.RecordBatch.from_arrays([pa.array([known == n_shared]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), own, pa.array([long], kinds)], ["fresh", "doc_ids", "n_words", "places", "words", "long"])
+            return pa.RecordBatch.from_arrays([pa.array([not known]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), own, pa.array([long], kinds)], ["fresh", "doc_ids", "n_words", "places", "words", "long"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -371,8 +387,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
                 if ids and size >= BLOCK_CHARS:
                     yield closed()
                     known, ids, counts, places, size = len(splitter.words), [], [], [], 0
-                    if known >= GENERATION + n_shared:
-                        splitter, known = begun()
+                    if known >= GENERATION:
+                        splitter.forget()
+                        known = 0
                 own = splitter.split(text) if text else b""
                 ids.append(doc)
                 counts.append(len(own) // 4)
@@ -445,8 +462,10 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Encode each text, decode the ids, and return counts and hashes of both."""
 
+    pieces = []  # of a task, made once
+
     def rows(docs, ids, ranks):
-        pieces = pieces_by_id(ranks)
+        pieces.extend(() if pieces else pieces_by_id(ranks))
         return [
             pa.array(docs, pa.int64()),
             pa.array([len(x) for x in ids], pa.int64()),

@@ -217,6 +217,20 @@ def toxic_rows():
     return rows, labels
 
 
+def test_byte_bpe_begins_anew_in_place():
+    """A list of words begins anew behind the shared ones without a second list beside it."""
+    import public_tokenizers
+    import regex
+
+    splitter = byte_bpe._Splitter(regex.compile(public_tokenizers.PATTERN), [" one", " two"])
+    coded = splitter.split("three one, 4 two one")
+    assert list(splitter.words) == ["three", ",", " 4"] and set(splitter) == {"two", "one"}
+    assert np.frombuffer(coded, "<i4").tolist() == [2, 0, 3, 4, 1, 0]
+    splitter.forget()
+    assert not splitter.words and set(splitter) == {"two", "one"}
+    assert splitter.split("4 two") == np.array([2, 1], "<i4").tobytes()
+
+
 def test_toxicity(spark):
     rows, labels = toxic_rows()
     docs = spark.createDataFrame([(d, t, "x", 3) for d, t in [*rows, (None, None), (1000, ""), (1000, "")]], "doc_id long, text string, words string, toxic int")
