@@ -46,7 +46,7 @@ def _staged(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Blocks of whole documents with plain ids, of 16 bits where the vocabulary's fit; null doc_ids come first."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bounds = _bounds(docs)
+    bounds, width = _bounds(docs), encoder(vocabulary).kind.itemsize
     shipped = spark.sparkContext.broadcast((vocabulary, bounds))
 
     def tokens(batches):
@@ -58,7 +58,6 @@ def _staged(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(stretch, pa.int32()), pa.array(ids, pa.int64()), pa.array(coded, pa.binary())], ["stretch", "doc_id", "ids"])
 
     def blocks(batches):
-        width = encoder(shipped.value[0]).kind.itemsize
         now, before, block, docs, lens, held, size = None, 0, 0, [], [], [], 0
 
         def closed():

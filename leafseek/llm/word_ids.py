@@ -3,8 +3,9 @@
 The tokenizer drops white space and never joins text across it, so the ids of a
 text are those of its pieces between blanks and line feeds, one after another.
 That makes a cache of pieces exact. Of the pieces that are not cached, plain Latin
-letters with at most one mark behind them go to the library's model as a
-lower-cased word, once for all its forms; the others go to the whole library.
+letters with at most a run of marks behind them go to the library's model as a
+lower-cased word, once for all its forms; the run, and all other pieces, go to the
+whole library.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import numpy as np
 
 #: The id that ends each document.
 END_ID = 1
-#: Letters below U+0250 but U+0130, which keep their form under NFC and have a one-letter lower case; one mark may follow.
-_PLAIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+[.,;:!?]?")
-_MARKS = frozenset(".,;:!?")
+#: Letters below U+0250 but U+0130, which keep their form under NFC and have a one-letter lower case.
+_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
+#: Marks behind them: ASCII but the apostrophe, which the vocabulary may join with letters, and ``<``, which begins its special tokens.
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: Characters of texts that are encoded together, and the longest piece that is kept.
 TOGETHER, LONGEST = 1 << 20, 64
 _ENCODERS: dict[int, "WordEncoder"] = {}
@@ -35,6 +37,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces; one that is missing comes from the older generation or from ``encode``, and is kept unless it is long."""
+
+    def __init__(self, encode, old: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.encode, self.old = encode, old
+
+    def __missing__(self, piece: str) -> bytes:
+        coded = self.old.get(piece)
+        if coded is None:
+            coded = self.encode(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = coded
+        return coded
+
+
 class WordEncoder:
     """Maps texts to the little-endian ids of their tokens, of 16 bits where all ids fit, else of 32.
 
@@ -42,7 +60,7 @@ class WordEncoder:
     goes when the younger is full, so frequent pieces stay.
     """
 
-    def __init__(self, vocabulary: str, generation: int = 250_000):
+    def __init__(self, vocabulary: str, generation: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,38 +71,29 @@ class WordEncoder:
         self._letters = str.maketrans(_byte_letters())
         # plain words need no normalizer where the vocabulary lower-cases and spells words by bytes
         self._lowers = self._tokenizer.encode("AÉ", add_special_tokens=False).ids == [t.id for t in self._tokenizer.model.tokenize("a" + "é".encode().decode("latin-1").translate(self._letters))]
-        self._start()
-        self._old: dict[str, bytes] = {}
+        self._pieces = _Pieces(self._piece, {})
         self._generation = generation
 
     def __len__(self) -> int:
         """One more than the largest id."""
         return len(self._packed)
 
-    def _learn(self, new: list[str]) -> None:
-        young, old, packed = self._young, self._old, self._packed
-        bodies, odd = set(), []
-        for p in new:
-            if p in old:
-                young[p] = old[p]
-            elif _PLAIN.fullmatch(p) and self._lowers:
-                bodies.add((p[:-1] if p[-1] in _MARKS else p).lower())
-            else:
-                odd.append(p)
-        tokenize, letters = self._tokenizer.model.tokenize, self._letters
-        for body in bodies:
-            if body in young:
-                continue
-            if body in old:
-                young[body] = old[body]
-                continue
-            spelled = body if body.isascii() else body.encode().decode("latin-1").translate(letters)
-            young[body] = b"".join([packed[t.id] for t in tokenize(spelled)])
-        for p, coded in zip(odd, self._tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True) if odd else ():
-            young[p] = b"".join([packed[i] for i in coded.ids])
-        for p in new:
-            if p not in young:
-                young[p] = young[p[:-1].lower()] + young[p[-1]] if p[-1] in _MARKS else young[p.lower()]
+    def _whole(self, piece: str) -> bytes:
+        return b"".join([self._packed[i] for i in self._tokenizer.encode(piece, add_special_tokens=False).ids])
+
+    def _piece(self, piece: str) -> bytes:
+        body = piece.rstrip(_MARKS)
+        ascii_letters = body.isascii() and body.isalpha()
+        if not (self._lowers and (ascii_letters or _LETTERS.fullmatch(body))):
+            return self._whole(piece)
+        lowered = body.lower()
+        if lowered != piece:
+            # a run of marks is a piece of its own
+            marks = piece[len(body) :]
+            return self._pieces[lowered] + self._pieces[marks] if marks else self._pieces[lowered]
+        spelled = piece if ascii_letters else piece.encode().decode("latin-1").translate(self._letters)
+        packed = self._packed
+        return b"".join([packed[t.id] for t in self._tokenizer.model.tokenize(spelled)])
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each whole text, without an end id; null counts as empty."""
@@ -98,24 +107,12 @@ class WordEncoder:
                 held, size = [], 0
         yield from self._coded(held)
 
-    def _start(self) -> None:
-        self._young: dict[str, bytes] = {"": b""}
-        for mark in _MARKS:
-            self._young[mark] = b"".join([self._packed[i] for i in self._tokenizer.encode(mark, add_special_tokens=False).ids])
-
     def _coded(self, held: list[list[str]]) -> Iterator[bytes]:
-        if len(self._young) >= self._generation:
-            self._old = self._young
-            self._start()
-        young = self._young
-        new = [p for p in set().union(*held) if p not in young]
-        self._learn(new)
-        out = [b"".join(map(young.__getitem__, pieces)) for pieces in held]
-        for p in new:
-            if len(p) > LONGEST:
-                young.pop(p, None)
-                young.pop(p.lower(), None)
-        return iter(out)
+        if len(self._pieces) >= self._generation:
+            self._pieces.old = {}  # so that no more than two are held
+            self._pieces = _Pieces(self._piece, self._pieces.copy())
+        of = self._pieces.__getitem__
+        return iter([b"".join(map(of, pieces)) for pieces in held])
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one text."""

@@ -484,6 +484,18 @@ def test_word_ids_equal_the_library():
     assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode_all([*texts, None])] == [plain_ids(t)[:-1] for t in texts] + [[]]
 
 
+def test_word_ids_of_marks_behind_words(monkeypatch):
+    """A run of marks is encoded once for all words before it, and ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_str(entries.word_vocabulary()), WordEncoder(entries.word_vocabulary())
+    seen, whole = [], encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda piece: seen.append(piece) or whole(piece))
+    text = "that*** That*** wider*** Éclair*** that,*** plain Plain PLAIN!? it's <|endoftext|> x<|endoftext|> a's** 'tis 4** ***"
+    assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(["***", ",***", "!?", "it's", "<|endoftext|>", "x<|endoftext|>", "a's**", "'tis", "4**"])
+
+
 def test_huffman():
     rng = np.random.default_rng(0)
     for counts in ([5], [0, 3, 0], [1, 1], [1 << i for i in range(30)], rng.integers(0, 99, 3000).tolist()):
