@@ -23,9 +23,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id of each near-duplicate group of texts; all columns of it stay.
 
     Texts are near whose sets of 5-word shingles have a similarity of 0.8 or
-    more. Decisions are by row, not by doc_id: of rows that share a doc_id one
-    of each group stays, so texts that are not near keep theirs. Rows without a
-    doc_id belong to no group and stay.
+    more. Candidates come from SimHash fingerprints of these shingles, through the
+    operator of ``op1_simhash``, and from MinHash bands where texts differ in more
+    bits than it links; the shingles decide. Decisions are by row, not by doc_id:
+    of rows that share a doc_id one of each group stays, so texts that are not
+    near keep theirs. Rows without a doc_id belong to no group and stay.
     """
     return near_copies.keep_first(docs)
 

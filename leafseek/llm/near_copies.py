@@ -1,9 +1,12 @@
-"""Near copies of texts by their word shingles: MinHash bands find candidates, the shingles decide.
-
-Texts with equal sets of shingles are one node. Nodes that share a band of
-``ROWS`` minima are a bucket; a pair of similarity s shares one of ``BANDS`` bands
-with a chance of 1 - (1 - s ** ROWS) ** BANDS, 0.9996 at 0.8. No bucket is paired
-at once: each member is compared with the bucket's least node, and only buckets
+"""Near copies of texts by their word shingles: SimHash finds candidates, the shingles decide.
+
+Texts with equal sets of shingles are one node. Fingerprints of the shingles go
+through the SimHash operator, and nodes of a group of fingerprints that links of
+``DISTANCE`` bits connect are a bucket. Similar texts may differ in more bits, so
+MinHash bands add buckets for the rest: nodes that share a band of ``ROWS``
+minima are one; a pair of similarity s shares one of ``BANDS`` bands with a
+chance of 1 - (1 - s ** ROWS) ** BANDS, 0.9996 at 0.8. No bucket is paired at
+once: each member is compared with the bucket's least node, and only buckets
 whose members are then in several components are compared in full, in tiles of a
 bounded size. So the components are those of all similar pairs of all buckets.
 """
@@ -16,11 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import map_arrow, materialize
 from .components import components
 from .embed_dedup import _runs, _spanning
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints of one link differ at most.
+DISTANCE = 2
 BANDS, ROWS, SEED = 20, 5, 42
 #: Nodes of a tile's side, and shingles that a tile multiplies at once.
 TILE, COLUMNS = 512, 4096
@@ -28,16 +34,7 @@ TILE, COLUMNS = 512, 4096
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; fewer words than a shingle are one, no words none."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    size = min(shingle, n)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64, n - size + 1))
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
 def _bands(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
@@ -61,19 +58,21 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _marked(keyed: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, h, node (of the set of shingles) and bands of each row; the sets themselves would be longer than the texts."""
+    """doc_id, h, node (of the set of shingles), fp and bands of each row; the sets themselves would be longer than the texts."""
 
     def read(batches):
         factors = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
-            nodes, bands = [], []
+            nodes, fps, bands = [], [], []
             for x in batch.column(2):
-                own = shingle_set(x.as_py(), shingle)
+                hashes = simhash.shingle_hashes(x.as_py(), shingle)
+                fps.append(simhash.majority(hashes))
+                own = np.unique(hashes)
                 nodes.append(_node(own))
                 bands.append(_bands(own, factors))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "node", "fp", "bands"])
 
-    return map_arrow(keyed, read, "doc_id long, h long, node long, bands array<long>")
+    return map_arrow(keyed, read, "doc_id long, h long, node long, fp long, bands array<long>")
 
 
 def _sets(keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -136,13 +135,22 @@ def _tile_pairs(entries: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return map_arrow(dealt, compared, "a long, b long")
 
 
+def _entries(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """value (of a bucket) and node: by the groups of the fingerprints of ``own`` (node, fp), and by the bands of ``nodes``."""
+    fps = materialize(own.select("fp", F.col("fp").alias("id")).distinct(), "fingerprints")
+    grouped = own.select("node", "fp").distinct().join(simhash.groups(fps, DISTANCE), "fp")
+    near = materialize(grouped.select("node", F.xxhash64(F.lit("fp"), "component").alias("value")).distinct(), "groups")
+    return near.union(nodes.select("node", F.explode("bands").alias("value")))
+
+
 def _grouped(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Rows with doc_id, h and node; and by node its smallest doc_id, its component and the smallest doc_id of that."""
     keyed = _keyed(docs)
     marked = materialize(_marked(keyed, shingle), "shingles")
-    nodes = marked.where("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("bands").alias("bands"))
+    own = marked.where("doc_id is not null")
+    nodes = own.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.select("node", F.col("r.doc_id").alias("id"), F.col("r.h").alias("h"), "bands"), "nodes")
-    entries = nodes.select("node", F.explode("bands").alias("value"))
+    entries = _entries(own, nodes)
     buckets = entries.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     entries = materialize(entries.join(buckets, "value"), "buckets")
     wanted = nodes.select(F.col("id").alias("doc_id"), "h", "node").join(entries.select("node").distinct(), "node", "left_semi")

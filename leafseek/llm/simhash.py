@@ -36,25 +36,33 @@ HOT = 64
 VERIFY_COST = 0.2
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bits set in over half the hashes of the word shingles, repeats included; no words give zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles in their order; fewer words than a shingle are one, no words none."""
     words = (text or "").encode().lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
+    size = min(shingle, n)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64, n - shingle + 1)
+    return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64, n - size + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half the hashes; none of no hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Bits set in over half the hashes of the word shingles, repeats included; no words give zero."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a long) of each row.
 
@@ -209,6 +217,12 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     return paired.union(starred)
 
 
+def groups(distinct: DataFrame, distance: int = 2) -> DataFrame:
+    """fp and component (the smallest id reachable by links, itself included) of each distinct fingerprint (fp, id)."""
+    found = components(links(distinct, distance))
+    return distinct.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links, itself included) of each row.
 
@@ -218,6 +232,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     """
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "distinct")
-    found = components(links(distinct, distance))
-    by_fp = distinct.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return marked.join(by_fp, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    return marked.join(groups(distinct, distance), "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))

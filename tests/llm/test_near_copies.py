@@ -46,6 +46,28 @@ def test_near_copies(spark, texts, monkeypatch, tile):
     assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == expected
 
 
+def test_fingerprints_give_candidates(spark):
+    """Nodes whose fingerprints links of two bits connect share a bucket without a common band."""
+    fps = {1: 0b0, 2: 0b11, 3: 0b1111, 4: 0b1111 << 40, 5: -1, 6: -1}
+    own = spark.createDataFrame([*fps.items(), (6, 0b1 << 40)], "node long, fp long")
+    nodes = spark.createDataFrame([(n, [n + 100]) for n in fps], "node long, bands array<long>")
+    held = {}
+    for r in near_copies._entries(own, nodes).collect():
+        held.setdefault(r.value, set()).add(r.node)
+    # node 6 has two fingerprints, one a bit from node 1's and one node 5's
+    assert sorted(map(sorted, held.values())) == sorted([[1, 2, 3, 6], [4], [5, 6], *([n] for n in fps)])
+
+
+def test_similar_texts_with_near_fingerprints_need_no_band(spark, monkeypatch):
+    """Of the groups of fingerprints the similar texts are joined, the others not."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [(1, " ".join(words)), (2, " ".join(words + ["end"])), (3, "word " * 5000), (4, "word " * 5000 + "end")]
+    marked = near_copies._marked
+    monkeypatch.setattr(near_copies, "_marked", lambda *a: marked(*a).selectExpr("doc_id", "h", "node", "fp", "cast(array() as array<long>) as bands"))
+    rows = near_copies.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_stage_removes_edited_copies(spark, texts):
     import corpus_pipeline as C
 
