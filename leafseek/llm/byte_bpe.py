@@ -23,10 +23,11 @@ import hashlib
 import heapq
 import json
 import re
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,13 @@ from .common import map_arrow, materialize
 
 #: A block closes with the document that takes it to so many characters.
 BLOCK_CHARS = 1 << 20
-#: Distinct words beside the shared ones from which on a task begins a new list of them.
+#: Texts are split into chunks in runs that close with the text that takes them to so many bytes.
+RUN_BYTES = 4 << 20
+#: Distinct words beside the shared ones from which on a task begins a new list of them, with the next run of texts.
 GENERATION = 125_000
 #: Distinct chunks from which on a task begins a new list of them for the choice of shared words.
 LISTED = 500_000
-#: Chunks of shared words alone that a task keeps.
+#: Chunks other than shared words that a task keeps.
 KEPT = 300_000
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
@@ -48,7 +51,8 @@ SHARED_BYTES = 6 << 20
 #: Steps of a doubling of the number of lists that hold a word, and parts of a step.
 _STEPS, _PARTS = 8, 64
 #: White space other than single blanks and line feeds needs the whole pattern.
-_PAIRS, _OTHERS = [a + b for a in " \n" for b in " \n"], [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_OTHERS = "".join(f"\\x{{{i:x}}}" for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n")
+_UNEVEN = rf"\A[ \n]|[ \n]\z|[ \n][ \n]|[{_OTHERS}]"
 #: Words that the pattern leaves whole behind a blank, with one mark at most that it parts from them.
 _PLAIN, _MARKS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+[.,;:!?]?"), frozenset(".,;:!?")
 _BLOCK = "fresh boolean, doc_ids array<long>, n_words array<int>, places binary, words array<array<int>>, long array<struct<at: int, word: binary>>"
@@ -212,56 +216,108 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def _uneven(text: str) -> bool:
-    return text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _PAIRS) or any(x in text for x in _OTHERS)
+def _strings(array: pa.Array) -> list[str]:
+    """``to_pylist`` without a scalar for each string."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _stretches(sizes: np.ndarray, limit: int):
+    """(begin, end) of stretches that close with the entry that takes their sum to ``limit``."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(ends):
+        end = min(int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit)) + 1, len(ends))
+        yield begin, end
+        begin = end
+
+
+def _runs(texts: pa.Array, limit: int):
+    """(offset, texts) of stretches of an array of texts; null texts are empty, and offsets 64 bits wide."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    for begin, end in _stretches(pc.binary_length(texts).to_numpy(), limit):
+        yield begin, texts.slice(begin, end - begin)
+
+
+def _chunks(texts: pa.Array) -> pa.ListArray:
+    """The chunks of each text: a chunk stands behind a blank, or behind a line feed that it begins with."""
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+
+
+def _gather(flat: np.ndarray, begins: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Stretches of an array, one after another."""
+    ends = np.cumsum(lens)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + lens, lens)]
 
 
 class _Splitter(dict):
     """Places of the words of a chunk, as bytes of 32-bit integers, in ``first`` and behind it in ``words``, the distinct others so far.
 
-    Chunks of first words alone stay beyond a ``forget``, KEPT of them at most.
+    The first words that begin with a blank stand here as the chunks without it.
+    Other chunks are kept in ``recent``, KEPT of them at most.
     """
 
     def __init__(self, pattern, first=()):
         super().__init__()
-        self.find, self.words, self.recent = pattern.findall, {}, {}
-        self.first = {w: i.to_bytes(4, "little") for i, w in enumerate(first)}
+        self.find, self.words, self.recent, self.n_first = pattern.findall, {}, {}, len(first)
+        self.bare = {}  # first words that are no chunk
+        for i, w in enumerate(first):
+            if self.leads(w):
+                self[w[1:]] = i.to_bytes(4, "little")
+            else:
+                self.bare[w] = i.to_bytes(4, "little")
+
+    @staticmethod
+    def leads(word: str) -> bool:
+        return word[:1] == " " and not word[1:2].isspace() and len(word) > 1
 
     def forget(self) -> None:
         """Begin anew behind the first words, in place, so that no two lists are held at a time."""
         self.words, self.recent = {}, {}
 
     def place(self, word: str) -> bytes:
-        at = self.first.get(word) or self.words.get(word)
+        at = self.get(word[1:]) if self.leads(word) else self.bare.get(word)
+        return at or self._other(word)
+
+    def _other(self, word: str) -> bytes:
+        at = self.words.get(word)
         if at is None:
-            at = self.words[word] = (len(self.first) + len(self.words)).to_bytes(4, "little")
+            at = self.words[word] = (self.n_first + len(self.words)).to_bytes(4, "little")
         return at
 
     def __missing__(self, chunk: str) -> bytes:
         if (out := self.recent.get(chunk)) is not None:
             return out
-        # a chunk stands behind a blank, or behind a line feed that it begins with
         if not _PLAIN.fullmatch(chunk):
-            found = self.find(chunk if chunk[:1] == "\n" else " " + chunk)
-        elif chunk[-1] in _MARKS:
-            found = [" " + chunk[:-1], chunk[-1]]
+            out = b"".join(map(self.place, self.find(chunk if chunk[:1] == "\n" else " " + chunk)))
+        elif (mark := chunk[-1]) in _MARKS:
+            out = (self.get(chunk[:-1]) or self._other(" " + chunk[:-1])) + (self.bare.get(mark) or self._other(mark))
         else:
-            found = [" " + chunk]
-        out = b"".join(map(self.place, found))
+            out = self._other(" " + chunk)
         if len(chunk) <= 64:
-            if not all(map(self.first.__contains__, found)):
-                self.recent[chunk] = out
-            else:
-                if len(self) >= KEPT:
-                    self.clear()
-                self[chunk] = out
+            if len(self.recent) >= KEPT:
+                self.recent.clear()
+            self.recent[chunk] = out
         return out
 
     def split(self, text: str) -> bytes:
-        if _uneven(text):
-            return b"".join(map(self.place, self.find(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return b"".join(map(self.place, self.find(first))) + b"".join(map(self.__getitem__, rest))
+        return self.split_all(pa.array([text], pa.large_string()))[0].tobytes()
+
+    def split_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of all texts in a row, and the number of words of each; a distinct chunk is looked up once."""
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        chunks = _chunks(pc.if_else(uneven, pa.scalar("", texts.type), texts))
+        begins, chunks = chunks.offsets.to_numpy()[:-1] - chunks.offsets[0].as_py(), chunks.flatten()
+        # a text's first chunk stands behind no blank; an uneven text is one
+        first = np.zeros(len(chunks), bool)
+        first[begins] = True
+        parts = [b"".join(map(self.place, self.find(x))) for x in _strings(pc.if_else(uneven, texts, chunks.take(pa.array(begins))))]
+        coded = chunks.filter(pa.array(~first)).dictionary_encode()
+        at = np.empty(len(chunks), np.int64)
+        at[begins], at[~first] = np.arange(len(parts)), coded.indices.to_numpy() + np.int64(len(parts))
+        parts += map(self.__getitem__, _strings(coded.dictionary))
+        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        places = np.frombuffer(b"".join(parts), "<i4")
+        own = lens[at]
+        return _gather(places, (np.cumsum(lens) - lens)[at], own), np.add.reduceat(own, begins)
 
 
 def _byte_lists(words: list[str], byte_ids: np.ndarray) -> tuple[pa.ListArray, list[dict]]:
@@ -291,8 +347,8 @@ def _lists(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 50_000], pa.string())], ["chunk"])
 
         for batch in batches:
-            for text in batch.column(0):
-                chunks.update(text.as_py().replace("\n", " \n").split(" "))
+            for _, texts in _runs(batch.column(0), RUN_BYTES):
+                chunks.update(_strings(_chunks(texts).flatten().unique()))
                 if len(chunks) >= LISTED:
                     yield from closed()
                     chunks = set()
@@ -369,34 +425,28 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
         rows = lambda docs, ids, ranks: [pa.array(docs, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
 
     def words(batches):
-        compiled = regex.compile(pattern)
-        ids, counts, places, size = [], [], [], 0
-
-        splitter, known = _Splitter(compiled, shared.value.to_pylist()), 0
+        splitter, known = _Splitter(regex.compile(pattern), _strings(shared.value)), 0
 
-        def closed():
-            new = list(islice(reversed(splitter.words), len(splitter.words) - known))[::-1]
+        def closed(ids, counts, places, new):
             nested, long = _byte_lists(new, byte_ids)
             kinds = pa.list_(pa.struct([("at", pa.int32()), ("word", pa.binary())]))
             own = pa.ListArray.from_arrays(pa.array([0, len(nested)], pa.int32()), nested)
-            return pa.RecordBatch.from_arrays([pa.array([not known]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), own, pa.array([long], kinds)], ["fresh", "doc_ids", "n_words", "places", "words", "long"])
+            return pa.RecordBatch.from_arrays([pa.array([not known]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int32())), pa.array([places.tobytes()], pa.binary()), own, pa.array([long], kinds)], ["fresh", "doc_ids", "n_words", "places", "words", "long"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                if ids and size >= BLOCK_CHARS:
-                    yield closed()
-                    known, ids, counts, places, size = len(splitter.words), [], [], [], 0
-                    if known >= GENERATION:
-                        splitter.forget()
-                        known = 0
-                own = splitter.split(text) if text else b""
-                ids.append(doc)
-                counts.append(len(own) // 4)
-                places.append(own)
-                size += len(text)
-        if ids:
-            yield closed()
+            for at, texts in _runs(batch.column(1), RUN_BYTES):
+                if known >= GENERATION:
+                    splitter.forget()
+                    known = 0
+                places, counts = splitter.split_all(texts)
+                new, before = list(islice(reversed(splitter.words), len(splitter.words) - known))[::-1], known
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                for begin, end in _stretches(pc.utf8_length(texts).to_numpy(), BLOCK_CHARS):
+                    own = places[ends[begin] : ends[end]]
+                    # words up to the last that the block has; the run's last block has those that are left
+                    upto = max(known, int(own.max(initial=-1)) + 1 - splitter.n_first) if end < len(texts) else len(splitter.words)
+                    yield closed(batch.column(0)[at + begin : at + end].to_pylist(), counts[begin:end], own, new[known - before : upto - before])
+                    known = upto
 
     def gathered(batches):
         ranks = shipped.value
@@ -415,14 +465,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
                 if fresh:
                     flat, begins = shared_ids.value
                 flat, begins = np.concatenate([flat, new]), np.concatenate([begins, begins[-1] + np.cumsum(lens)])
-                ids, at = [], 0
-                for n in counts:
-                    own = places[at : at + n]
-                    at += n
-                    first = begins[own]
-                    m = begins[own + 1] - first
-                    ends = np.cumsum(m)
-                    ids.append(flat[np.arange(ends[-1] if n else 0) + np.repeat(first - ends + m, m)])
+                first = begins[places]
+                lens = begins[places + 1] - first
+                ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(counts)]
+                ids = np.split(_gather(flat, first, lens), ends[:-1])
                 columns = rows(docs, ids, ranks)
                 yield pa.RecordBatch.from_arrays(columns, [f"c{j}" for j in range(len(columns))])
 
@@ -442,9 +488,13 @@ def pieces_by_id(ranks: dict[bytes, int]) -> list[bytes]:
     return pieces
 
 
-def decode_ids(ids: np.ndarray, pieces: list[bytes]) -> bytes:
-    """The bytes of an array of ids: their pieces, one after another."""
-    return b"".join(map(pieces.__getitem__, ids.tolist()))
+def decode_ids(ids: list[np.ndarray], pieces: pa.LargeBinaryArray) -> list[memoryview]:
+    """The bytes of arrays of ids: their pieces, one after another."""
+    whole = pieces.take(pa.array(np.concatenate(ids)))
+    _, offsets, data = whole.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
+    data = memoryview(data or b"")
+    return [data[a:b] for a, b in pairwise(cuts)]
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -465,12 +515,13 @@ def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     pieces = []  # of a task, made once
 
     def rows(docs, ids, ranks):
-        pieces.extend(() if pieces else pieces_by_id(ranks))
+        if not pieces:
+            pieces.append(pa.array(pieces_by_id(ranks), pa.large_binary()))
         return [
             pa.array(docs, pa.int64()),
             pa.array([len(x) for x in ids], pa.int64()),
             pa.array([hashlib.sha256(np.ascontiguousarray(x, "<u4")).hexdigest() for x in ids], pa.string()),
-            pa.array([hashlib.sha256(decode_ids(x, pieces)).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in decode_ids(ids, *pieces)], pa.string()),
         ]
 
     return encode(docs, ranks, pattern, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

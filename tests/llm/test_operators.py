@@ -231,6 +231,39 @@ def test_byte_bpe_begins_anew_in_place():
     assert splitter.split("4 two") == np.array([2, 1], "<i4").tobytes()
 
 
+def test_byte_bpe_looks_up_distinct_chunks_once(monkeypatch):
+    """The Python work of a text grows with its distinct chunks, not with all of them."""
+    import public_tokenizers
+    import regex
+
+    looked, missing = [], byte_bpe._Splitter.__missing__
+    monkeypatch.setattr(byte_bpe._Splitter, "__missing__", lambda self, chunk: looked.append(chunk) or missing(self, chunk))
+    splitter = byte_bpe._Splitter(regex.compile(public_tokenizers.PATTERN), [" one"])
+    coded = np.frombuffer(splitter.split("one rare one, " * 500 + "end"), "<i4")
+    assert sorted(looked) == ["end", "one,", "rare"] and len(coded) == 500 * 4 + 1
+
+
+def test_byte_bpe_in_many_runs_and_blocks(spark, monkeypatch):
+    """Texts of all kinds in runs, blocks and lists of words that end often give the library's ids."""
+    import public_tokenizers
+    import tiktoken
+
+    for name, value in {"RUN_BYTES": 300, "BLOCK_CHARS": 60, "GENERATION": 40, "LISTED": 50}.items():
+        monkeypatch.setattr(byte_bpe, name, value)
+    rng = np.random.default_rng(4)
+    parts = [" ", " ", " ", "\n", "  ", "\t", "a", "the", "it's", "é", "日本", "12", ".", ",", "--", "\0", "word", "\u3000", "x" * 150]
+    texts = ["".join(rng.choice(parts[: 10 if i % 2 else None], rng.integers(0, 30))) if i % 9 else None for i in range(400)]
+    texts += [f"one {i} two{i:b}, three\nfour." for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    ranks = byte_bpe.read_ranks(entries.vocabulary(entries.BYTE_VOCABULARY))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = by_id(byte_bpe.digest(docs, ranks, public_tokenizers.PATTERN).collect())
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        ids = library.encode_ordinary(t or "")
+        assert [tuple(r)[1:] for r in rows[i]] == [(len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())]
+
+
 def test_toxicity(spark):
     rows, labels = toxic_rows()
     docs = spark.createDataFrame([(d, t, "x", 3) for d, t in [*rows, (None, None), (1000, ""), (1000, "")]], "doc_id long, text string, words string, toxic int")
