@@ -37,7 +37,7 @@ from .common import map_arrow, materialize
 #: A block closes with the document that takes it to so many characters.
 BLOCK_CHARS = 1 << 20
 #: Texts are split into chunks in runs that close with the text that takes them to so many bytes.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 #: Distinct words beside the shared ones from which on a task begins a new list of them, with the next run of texts.
 GENERATION = 125_000
 #: Distinct chunks from which on a task begins a new list of them for the choice of shared words.
@@ -257,13 +257,15 @@ class _Splitter(dict):
 
     def __init__(self, pattern, first=()):
         super().__init__()
-        self.find, self.words, self.recent, self.n_first = pattern.findall, {}, {}, len(first)
+        self.find, self.words, self.recent, self.n_first = pattern.findall, {}, {}, 0
         self.bare = {}  # first words that are no chunk
-        for i, w in enumerate(first):
+        for w in first:
+            at = self.n_first.to_bytes(4, "little")
             if self.leads(w):
-                self[w[1:]] = i.to_bytes(4, "little")
+                self[w[1:]] = at
             else:
-                self.bare[w] = i.to_bytes(4, "little")
+                self.bare[w] = at
+            self.n_first += 1
 
     @staticmethod
     def leads(word: str) -> bool:
@@ -425,7 +427,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
         rows = lambda docs, ids, ranks: [pa.array(docs, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
 
     def words(batches):
-        splitter, known = _Splitter(regex.compile(pattern), _strings(shared.value)), 0
+        # by parts, so that the words stand nowhere beside the dictionary
+        first = (w for i in range(0, len(shared.value), 10_000) for w in _strings(shared.value.slice(i, 10_000)))
+        splitter, known = _Splitter(regex.compile(pattern), first), 0
 
         def closed(ids, counts, places, new):
             nested, long = _byte_lists(new, byte_ids)
