@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafseek.llm import entries, near_copies, packing, substring, toxicity
-from leafseek.llm.common import documents, materialize
+from leafseek.llm.common import documents, materialize, small_batches
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -29,17 +30,20 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of rows that share a doc_id one of each group stays, so texts that are not
     near keep theirs. Rows without a doc_id belong to no group and stay.
     """
+    small_batches(spark)
     return near_copies.keep_first(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-word passages that documents of smaller doc_id hold too."""
+    small_batches(spark)
     kept = substring.remove_repeats(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(packing.cut(docs, entries.word_vocabulary()))
 
 

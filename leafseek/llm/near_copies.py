@@ -72,7 +72,7 @@ def _marked(keyed: DataFrame, shingle: int) -> DataFrame:
                 bands.append(_bands(own, factors))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h", "node", "fp", "bands"])
 
-    return map_arrow(keyed, read, "doc_id long, h long, node long, fp long, bands array<long>")
+    return map_arrow(keyed, read, "doc_id long, h long, node long, fp long, bands array<long>", lean=True)
 
 
 def _sets(keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -83,7 +83,7 @@ def _sets(keyed: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], ["node", "set"])
 
     rows = keyed.join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-    return map_arrow(rows.select("node", "text"), read, "node long, set binary")
+    return map_arrow(rows.select("node", "text"), read, "node long, set binary", lean=True)
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -99,7 +99,7 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     paired = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return map_arrow(paired.select("a", "b", "x", "y"), verified, "a long, b long")
+    return map_arrow(paired.select("a", "b", "x", "y"), verified, "a long, b long", lean=True)
 
 
 def _tile_pairs(entries: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -132,7 +132,7 @@ def _tile_pairs(entries: DataFrame, sets: DataFrame, similarity: float) -> DataF
     tiles = placed.select("value", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o"))
     tiles = tiles.select("value", "node", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).join(sets, "node")
     dealt = tiles.select("value", "i", "j", "node", "set").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", "node")
-    return map_arrow(dealt, compared, "a long, b long")
+    return map_arrow(dealt, compared, "a long, b long", lean=True)
 
 
 def _entries(own: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def _together(fps: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1).astype(np.int32)), pa.array(np.append(j, -1).astype(np.int32)), pa.array(np.append(total.ravel(), n).astype(np.int64))], ["i", "j", "n"])
 
     together, n = np.zeros((BITS, BITS)), 0
-    for r in map_arrow(fps.select("fp"), count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(fps.select("fp"), count, "i int, j int, n long", lean=True).groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         if r["i"] < 0:
             n = r["n"]
         else:

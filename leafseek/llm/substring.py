@@ -124,7 +124,7 @@ def _find_runs(keyed: DataFrame, window: int) -> DataFrame:
                 ids, keys = (np.array([r[i] for r in held], np.int64) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[document]), pa.array(keys[document]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor), pa.array(own)], ["doc_id", "key", "start", "n", "anchor", "h"])
 
-    return map_arrow(keyed, found, "doc_id long, key long, start int, n int, anchor long, h long")
+    return map_arrow(keyed, found, "doc_id long, key long, start int, n int, anchor long, h long", lean=True)
 
 
 def _segments(keyed: DataFrame, owners: DataFrame, window: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _segments(keyed: DataFrame, owners: DataFrame, window: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "h", "doc_id", "words", "at", "w1", "w2"])
 
-    return map_arrow(joined, cut, "anchor long, h long, doc_id long, words binary, at int, w1 long, w2 long")
+    return map_arrow(joined, cut, "anchor long, h long, doc_id long, words binary, at int, w1 long, w2 long", lean=True)
 
 
 def index_shard(sequences: list[np.ndarray], owners: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -211,7 +211,7 @@ def _shards(segments: DataFrame, window: int) -> DataFrame:
 
     rows = segments.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "anchor", "h", "words", "doc_id")
     dealt = rows.repartition("shard").sortWithinPartitions("shard", "anchor", "h")
-    return map_arrow(dealt, searched, "anchor long, h long, a int, b int, least long")
+    return map_arrow(dealt, searched, "anchor long, h long, a int, b int, least long", lean=True)
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -289,4 +289,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     at = docs.columns.index("text")
     joined = _with_spans(docs.withColumn("text", F.col("text").cast("string")), window)
-    return map_arrow(joined, cleaned, joined.drop("leafseek_spans").schema)
+    return map_arrow(joined, cleaned, joined.drop("leafseek_spans").schema, lean=True)

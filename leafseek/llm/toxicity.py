@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([sorted(words(t.as_py())) for t in batch.column("text")], pa.list_(pa.string()))], [*batch.schema.names[:-1], "words"])
 
-    sample = map_arrow(labelled, listed, "doc_id long, " + "".join(f"{y} int, " for y in ys) + "h long, words array<string>")
+    sample = map_arrow(labelled, listed, "doc_id long, " + "".join(f"{y} int, " for y in ys) + "h long, words array<string>", lean=True)
     sample = sample.groupBy("doc_id").agg(F.min_by(F.struct(*ys, "words"), "h").alias("r")).select("doc_id", "r.*")
     sample = materialize(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "labelled")
     # numbers of texts with a word, and of those with a word and a label, without each fold and of all
@@ -227,4 +227,4 @@ def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(own.scores([t.as_py() for t in batch.column(at)])[:, -1].round(6) < THRESHOLD))
 
-    return map_arrow(docs, clean, docs.schema)
+    return map_arrow(docs, clean, docs.schema, lean=True)

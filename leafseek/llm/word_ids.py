@@ -128,6 +128,11 @@ def encoder(vocabulary: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Drop this worker's encoder and its cache."""
+    _ENCODERS.clear()
+
+
 def encode_with_end(texts: Iterable[str | None], vocabulary: str) -> Iterator[np.ndarray]:
     """For each text its ids with the end id."""
     own = encoder(vocabulary)
