@@ -23,7 +23,9 @@ import hashlib
 import heapq
 import json
 import re
-from itertools import islice, pairwise
+from array import array
+from collections import defaultdict
+from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import give_back, map_arrow, materialize, small_batches
 
 #: A block closes with the document that takes it to so many characters.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 #: Texts are split into chunks in runs that close with the text that takes them to so many bytes.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: Distinct words beside the shared ones from which on a task begins a new list of them, with the next run of texts.
 GENERATION = 125_000
 #: Distinct chunks from which on a task begins a new list of them for the choice of shared words.
 LISTED = 500_000
-#: Chunks other than shared words that a task keeps.
-KEPT = 300_000
 #: Longer words are merged with a heap in the second pass: a fold's cost is quadratic.
 FOLD_BYTES = 128
 #: The chunks that give the shared words have so many bytes in all at most.
@@ -248,57 +248,77 @@ def _gather(flat: np.ndarray, begins: np.ndarray, lens: np.ndarray) -> np.ndarra
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + lens, lens)]
 
 
-class _Splitter(dict):
-    """Places of the words of a chunk, as bytes of 32-bit integers, in ``first`` and behind it in ``words``, the distinct others so far.
+def _append(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The first ``used`` entries of an array and ``more``; the array itself where it has the room behind them."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.empty(len(more) + used // 2, held.dtype)])
+    held[used : used + len(more)] = more
+    return held
 
-    The first words that begin with a blank stand here as the chunks without it.
-    Other chunks are kept in ``recent``, KEPT of them at most.
+
+class _Table:
+    """Places of distinct strings, found by their hashes; a string takes 12 bytes beside the array.
+
+    A string whose hash another one has may not be found.
+    """
+
+    def __init__(self, strings: pa.Array):
+        self.strings = strings
+        parts = (_strings(strings.slice(i, 10_000)) for i in range(0, len(strings), 10_000))
+        hashes = np.fromiter((h for part in parts for h in map(hash, part)), np.int64, len(strings))
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    def places(self, strings: pa.Array, listed: list[str]) -> np.ndarray:
+        """The place of each string, given twice, or -1."""
+        out = np.full(len(listed), -1, np.int32)
+        if len(self.hashes):
+            own = np.fromiter(map(hash, listed), np.int64, len(listed))
+            at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+            like = np.flatnonzero(self.hashes[at] == own)
+            found = self.order[at[like]]
+            same = pc.equal(self.strings.take(pa.array(found)).cast(strings.type), strings.take(pa.array(like)))
+            same = same.to_numpy(zero_copy_only=False)
+            out[like[same]] = found[same]
+        return out
+
+
+class _Splitter:
+    """Places of the words of texts, as 32-bit integers, in ``first`` and behind it in ``words``, the distinct others so far.
+
+    A run of texts lists its distinct words and looks them up together, so of the
+    first words no Python strings are kept.
     """
 
     def __init__(self, pattern, first=()):
-        super().__init__()
-        self.find, self.words, self.recent, self.n_first = pattern.findall, {}, {}, 0
-        self.bare = {}  # first words that are no chunk
-        for w in first:
-            at = self.n_first.to_bytes(4, "little")
-            if self.leads(w):
-                self[w[1:]] = at
-            else:
-                self.bare[w] = at
-            self.n_first += 1
+        self.find, self.words, self.n_first = pattern.findall, {}, len(first)
+        self.first = _Table(first if isinstance(first, pa.Array) else pa.array(first, pa.string()))
 
-    @staticmethod
-    def leads(word: str) -> bool:
-        return word[:1] == " " and not word[1:2].isspace() and len(word) > 1
+    def __iter__(self):
+        """The chunks that are a first word behind a blank."""
+        return (w[1:] for w in _strings(self.first.strings) if w[:1] == " " and not w[1:2].isspace() and len(w) > 1)
 
     def forget(self) -> None:
         """Begin anew behind the first words, in place, so that no two lists are held at a time."""
-        self.words, self.recent = {}, {}
-
-    def place(self, word: str) -> bytes:
-        at = self.get(word[1:]) if self.leads(word) else self.bare.get(word)
-        return at or self._other(word)
+        self.words = {}
 
-    def _other(self, word: str) -> bytes:
-        at = self.words.get(word)
-        if at is None:
-            at = self.words[word] = (self.n_first + len(self.words)).to_bytes(4, "little")
-        return at
-
-    def __missing__(self, chunk: str) -> bytes:
-        if (out := self.recent.get(chunk)) is not None:
-            return out
+    def __missing__(self, chunk: str) -> list[str]:
+        """The words of a chunk that is no first word behind a blank."""
         if not _PLAIN.fullmatch(chunk):
-            out = b"".join(map(self.place, self.find(chunk if chunk[:1] == "\n" else " " + chunk)))
-        elif (mark := chunk[-1]) in _MARKS:
-            out = (self.get(chunk[:-1]) or self._other(" " + chunk[:-1])) + (self.bare.get(mark) or self._other(mark))
-        else:
-            out = self._other(" " + chunk)
-        if len(chunk) <= 64:
-            if len(self.recent) >= KEPT:
-                self.recent.clear()
-            self.recent[chunk] = out
-        return out
+            return self.find(chunk if chunk[:1] == "\n" else " " + chunk)
+        return [" " + chunk[:-1], chunk[-1]] if chunk[-1] in _MARKS else [" " + chunk]
+
+    def _places(self, parts) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words of all lists in a row, and the number of words of each."""
+        distinct, lens, codes = defaultdict(count().__next__), array("q"), array("i")
+        for part in parts:
+            lens.append(len(part))
+            codes.extend(map(distinct.__getitem__, part))
+        listed = list(distinct)
+        at = self.first.places(pa.array(listed, pa.large_string()), listed)
+        for i in np.flatnonzero(at < 0).tolist():
+            at[i] = self.n_first + self.words.setdefault(listed[i], len(self.words))
+        return at[np.frombuffer(codes, np.int32)], np.frombuffer(lens, np.int64)
 
     def split(self, text: str) -> bytes:
         return self.split_all(pa.array([text], pa.large_string()))[0].tobytes()
@@ -311,13 +331,22 @@ class _Splitter(dict):
         # a text's first chunk stands behind no blank; an uneven text is one
         first = np.zeros(len(chunks), bool)
         first[begins] = True
-        parts = [b"".join(map(self.place, self.find(x))) for x in _strings(pc.if_else(uneven, texts, chunks.take(pa.array(begins))))]
+        heads = pc.if_else(uneven, texts, chunks.take(pa.array(begins)))
         coded = chunks.filter(pa.array(~first)).dictionary_encode()
         at = np.empty(len(chunks), np.int64)
-        at[begins], at[~first] = np.arange(len(parts)), coded.indices.to_numpy() + np.int64(len(parts))
-        parts += map(self.__getitem__, _strings(coded.dictionary))
-        lens = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        places = np.frombuffer(b"".join(parts), "<i4")
+        at[begins], at[~first] = np.arange(len(heads)), coded.indices.to_numpy() + np.int64(len(heads))
+        blank = pa.scalar(" ", texts.type)
+        behind = pc.binary_join_element_wise(blank, coded.dictionary, pa.scalar("", texts.type))
+        listed = _strings(behind)
+        known = self.first.places(behind, listed)
+        known[pc.starts_with(coded.dictionary, "\n").to_numpy(zero_copy_only=False)] = -1
+        missing = np.flatnonzero(known < 0)
+        others, n_others = self._places(chain(map(self.find, _strings(heads)), (self.__missing__(listed[i][1:]) for i in missing.tolist())))
+        lens = np.ones(len(heads) + len(known), np.int64)
+        lens[: len(heads)], lens[len(heads) + missing] = n_others[: len(heads)], n_others[len(heads) :]
+        whole = np.concatenate([np.zeros(len(heads), bool), known >= 0])
+        places, whole = np.empty(lens.sum(), "<i4"), np.repeat(whole, lens)
+        places[whole], places[~whole] = known[known >= 0], others
         own = lens[at]
         return _gather(places, (np.cumsum(lens) - lens)[at], own), np.add.reduceat(own, begins)
 
@@ -356,7 +385,7 @@ def _lists(texts: DataFrame) -> DataFrame:
                     chunks = set()
         yield from closed()
 
-    return map_arrow(texts, listed, "chunk string")
+    return map_arrow(texts, listed, "chunk string", lean=True)
 
 
 def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -383,10 +412,8 @@ def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[pa.Arra
 
     def words_of(batches):
         splitter = _Splitter(regex.compile(pattern))
-        for batch in batches:
-            for chunk in batch.column(0).to_pylist():
-                splitter.__missing__(chunk)
-        own = [w for w in splitter.words if len(w.encode()) <= FOLD_BYTES]
+        own = {w for batch in batches for chunk in batch.column(0).to_pylist() for w in splitter.__missing__(chunk)}
+        own = [w for w in own if len(w.encode()) <= FOLD_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], ["word"])
 
     byte_ids = pairs.bytes
@@ -398,9 +425,9 @@ def shared_words(docs: DataFrame, pairs: PairMap, pattern: str) -> tuple[pa.Arra
             yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], ["own", "words"])
 
     # written before the fold, which then has no exchange: each new plan of an adaptive one would hold the literals again
-    chosen = map_arrow(counts.where(F.col("place") >= least).select("chunk"), words_of, "word string").distinct()
+    chosen = map_arrow(counts.where(F.col("place") >= least).select("chunk"), words_of, "word string", lean=True).distinct()
     chosen = materialize(chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism), "bpe-shared")
-    blocks = pairs.attach(map_arrow(chosen, lists, "own array<string>, words array<array<int>>"))
+    blocks = pairs.attach(map_arrow(chosen, lists, "own array<string>, words array<array<int>>", lean=True))
     coded = blocks.select("own", F.transform("words", lambda w: encode_word(w, pairs)).alias("ids")).toArrow()
     words, flat, lens = [pa.array([], pa.string())], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
     for batch in coded.to_batches():
@@ -418,6 +445,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
     null doc_id stays null.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     pairs = PairMap(ranks)
     byte_ids = pairs.bytes
     shipped = spark.sparkContext.broadcast(ranks)
@@ -427,9 +455,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
         rows = lambda docs, ids, ranks: [pa.array(docs, pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
 
     def words(batches):
-        # by parts, so that the words stand nowhere beside the dictionary
-        first = (w for i in range(0, len(shared.value), 10_000) for w in _strings(shared.value.slice(i, 10_000)))
-        splitter, known = _Splitter(regex.compile(pattern), first), 0
+        splitter, known = _Splitter(regex.compile(pattern), shared.value), 0
 
         def closed(ids, counts, places, new):
             nested, long = _byte_lists(new, byte_ids)
@@ -443,6 +469,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
                     splitter.forget()
                     known = 0
                 places, counts = splitter.split_all(texts)
+                give_back()  # the task's other worker has its turn meanwhile
                 new, before = list(islice(reversed(splitter.words), len(splitter.words) - known))[::-1], known
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 for begin, end in _stretches(pc.utf8_length(texts).to_numpy(), BLOCK_CHARS):
@@ -454,8 +481,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
 
     def gathered(batches):
         ranks = shipped.value
-        flat, begins = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        flat, begins, n_flat, n_begins = np.zeros(0, np.uint16), np.zeros(1, np.int64), 0, 1
         for batch in batches:
+            give_back()
             for i in range(batch.num_rows):
                 fresh, docs, counts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), np.array(batch.column(2)[i].as_py(), np.int64)
                 places = np.frombuffer(batch.column(3)[i].as_buffer(), "<i4")
@@ -468,7 +496,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
                     new, lens = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
                 if fresh:
                     flat, begins = shared_ids.value
-                flat, begins = np.concatenate([flat, new]), np.concatenate([begins, begins[-1] + np.cumsum(lens)])
+                    n_flat, n_begins = len(flat), len(begins)
+                if len(lens):
+                    begins, flat = _append(begins, n_begins, n_flat + np.cumsum(lens)), _append(flat, n_flat, new)
+                    n_flat, n_begins = n_flat + len(new), n_begins + len(lens)
                 first = begins[places]
                 lens = begins[places + 1] - first
                 ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(counts)]
@@ -476,13 +507,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, rows=None, sc
                 columns = rows(docs, ids, ranks)
                 yield pa.RecordBatch.from_arrays(columns, [f"c{j}" for j in range(len(columns))])
 
-    blocks = pairs.attach(map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), words, _BLOCK))
+    blocks = pairs.attach(map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), words, _BLOCK, lean=True))
     # a long word is empty here and has no bytes to fold
     coded = F.transform("words", lambda w: F.when(F.size(w) > 2, encode_word(w, pairs)).otherwise(F.array().cast("array<int>")))
     blocks = blocks.select("fresh", "doc_ids", "n_words", "places", coded.alias("ids"), "long")
     names = [x.split()[0] for x in schema.split(", ")]
     internal = ", ".join(f"c{i} {x.split(' ', 1)[1]}" for i, x in enumerate(schema.split(", ")))
-    return map_arrow(blocks, gathered, internal).toDF(*names)
+    return map_arrow(blocks, gathered, internal, lean=True).toDF(*names)
 
 
 def pieces_by_id(ranks: dict[bytes, int]) -> list[bytes]:

@@ -1,10 +1,13 @@
 """What the pipeline's stages hold in workers that serve many tasks."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from leafseek.llm import common, entries, near_copies, simhash, substring, toxicity, word_ids
+from leafseek.llm import byte_bpe, common, entries, near_copies, simhash, substring, toxicity, word_ids
 
 WANTED = ["toxicity", "near_duplicates", "repeated_passages"]
 
@@ -60,3 +63,55 @@ def test_stages_are_lean_and_bound_their_batches(spark, tmp_path, monkeypatch, n
         assert spark.conf.get(key) == "1000000"
     finally:
         spark.conf.unset(key)
+
+
+def test_byte_bpe_is_lean_and_bounds_its_batches(spark, monkeypatch):
+    import public_tokenizers
+
+    lean = []
+    monkeypatch.setattr(byte_bpe, "map_arrow", lambda *a, **b: lean.append(b.get("lean", False)) or common.map_arrow(*a, **b))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        docs = spark.createDataFrame([(i, "words that all have") for i in range(8)], "doc_id long, text string").repartition(2)
+        ranks = byte_bpe.read_ranks(entries.vocabulary(entries.BYTE_VOCABULARY))
+        assert byte_bpe.digest(docs, ranks, public_tokenizers.PATTERN).count() == 8
+        assert len(lean) == 5 and all(lean)
+        assert spark.conf.get(key) == str(common.BATCH)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_byte_bpe_keeps_no_strings_of_shared_words():
+    """A dictionary takes some 200 bytes for each of them, in each task."""
+    import public_tokenizers
+    import regex
+
+    words = pa.array([f" word{i:06}" for i in range(50_000)])
+    tracemalloc.start()
+    try:
+        splitter = byte_bpe._Splitter(regex.compile(public_tokenizers.PATTERN), words)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert splitter.n_first == 50_000 and held < 30 * len(words)
+
+
+def test_byte_bpe_words_of_equal_hashes(monkeypatch):
+    """A shared word that another's hash hides is a word like any other."""
+    import public_tokenizers
+    import regex
+
+    monkeypatch.setattr(byte_bpe, "hash", len, raising=False)
+    shared, text = [" one", " two", ",", ".", " three"], "one two, two. three six\nfour one"
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    splitter = byte_bpe._Splitter(pattern, pa.array(shared))
+    places = np.frombuffer(splitter.split(text), "<i4")
+    assert [(shared + list(splitter.words))[i] for i in places] == pattern.findall(text)
+
+
+def test_byte_bpe_appends_in_place_but_not_to_shared_ids():
+    shared = np.arange(4)
+    held = byte_bpe._append(shared, 4, np.array([7]))
+    more = byte_bpe._append(held, 5, np.array([8]))
+    assert more is held and more[:6].tolist() == [0, 1, 2, 3, 7, 8] and shared.tolist() == [0, 1, 2, 3]
